@@ -90,6 +90,10 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
 
 
+def _is(k: int):
+    return lambda s: s["k"] == k
+
+
 def _render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -102,6 +106,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     live = (F.col("n_owners") <= most_owners) & ~F.col("fake")
     verdict = each.join(owned, "hash").groupBy("row").agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"), F.max("n_owners").alias("most_owners"))
     base = F.filter("found", lambda s: s["k"] < len(BASE))
-    flat = found.select("row", "doc_id", *[F.size(F.filter("found", lambda s, k=k: s["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(_render(base), 256).alias("base_sha256"), _render(F.col("found")).alias("spans"))
+    flat = found.select("row", "doc_id", *[F.size(F.filter("found", _is(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(_render(base), 256).alias("base_sha256"), _render(F.col("found")).alias("spans"))
     zero = F.lit(0).cast("bigint")
     return flat.join(verdict, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_example", "most_owners")])
