@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidspark.llm import decontaminate, langid, pii, quality, secrets, sharding
+from evidspark.llm import decontaminate, langid, near_dedup, pii, quality, secrets, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(near_dedup.link(_docs(spark, sf_dir), size=4))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_docs(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op7_decontamination, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op7_decontamination, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
