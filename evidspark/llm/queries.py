@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidspark.llm import decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding
+from evidspark.llm import decontaminate, langid, licenses, near_dedup, pieces, pii, quality, secrets, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op7_decontamination, op8_secret_scan, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op7_decontamination, op8_secret_scan, op9_license_scan, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
