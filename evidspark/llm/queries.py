@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidspark.llm import decontaminate, langid, licenses, near_dedup, pieces, pii, quality, secrets, sharding
+from evidspark.llm import decontaminate, langid, licenses, near_dedup, pieces, pii, quality, secrets, sharding, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_docs(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -54,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op7_decontamination, op8_secret_scan, op9_license_scan, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pii, op4_quality_rules, op5_sharding, op6_substring_dedup, op7_decontamination, op8_secret_scan, op9_license_scan, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
