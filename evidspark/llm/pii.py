@@ -162,14 +162,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.mapInArrow(work, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col replaced; other columns as they came, null texts stay null."""
+def redact_documents(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with personal data in text_col replaced and count_col, if named, set to the new length; other columns as they came, null texts stay null."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = [t and redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch
 
-    return docs.mapInArrow(work, docs.schema)
+    out = docs.mapInArrow(work, docs.schema)
+    if count_col in docs.columns:
+        out = out.withColumn(count_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[count_col].dataType)))
+    return out
