@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed sets of characters that matching ignores or unifies.
 IGNORED = "\u00ad\u200b\ufeff"
@@ -65,14 +66,14 @@ def tail_probe(text: Column, n: int = 60) -> Column:
     return F.right(collapse(text), F.lit(n))
 
 
-@F.pandas_udf("string")
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
 def compose(text: Column) -> Column:
     """NFC. Spark has no such function, so rows with combining marks, and only those, go through Arrow."""
-    return F.when(text.rlike(r"\p{M}"), _compose(text)).otherwise(text)
+    composed = F.pandas_udf(_compose, T.StringType())
+    return F.when(text.rlike(r"\p{M}"), composed(text)).otherwise(text)
 
 
 def normalize_for_match(text: Column, composed: bool = True) -> Column:

@@ -18,7 +18,7 @@ def check(statements: DataFrame, sources: DataFrame) -> DataFrame:
     chunk; a number of the sentence is in no cited chunk or document header.
     """
     quotes = F.filter(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.trim(q) != "")
-    rows = statements.withColumns({"_ids": F.array_distinct(F.coalesce("source_ids", F.array().cast("array<int>"))), "_quotes": F.transform(quotes, normalize_for_match), "_numbers": numbers_in(normalize_for_match(F.col("text")))})
+    rows = statements.withColumns({"_ids": F.array_distinct(F.coalesce("source_ids", F.array().cast("array<int>"))), "_quotes": F.transform(quotes, lambda q: normalize_for_match(q)), "_numbers": numbers_in(normalize_for_match(F.col("text")))})
     text = normalize_for_match(F.col("chunk_raw"))
     header = normalize_for_match(F.concat_ws(" ", "chunk_raw", *[F.col(c).cast("string") for c in HEADER]))
     known = sources.select("answer_id", F.col("id").alias("_id"), text.alias("_text"), header.alias("_header"))
