@@ -7,10 +7,14 @@
    first, and a document enters only the lists of its first s - c + 1 values, where
    any pair similar enough shares at least c of s values but for a chance below
    1e-9: such a pair must meet in one of these lists. Frequent values come last.
-3. Within a list every document is paired with one centre, never with all others.
+3. Lists are split by size, as similar sets have similar sizes. A document leaves a
+   list if too many of its shingles are its own, among all candidates, to be similar to
+   anything in the list: with m of n shingles shared, a set of size k is out of reach
+   unless m / (n + k - m) allows it.
+4. Within a list every document is paired with one centre, never with all others.
    Pairs pass if the sketch of their union shows enough common values, and then by
    the exact Jaccard coefficient of their full sets.
-4. Links give components. Lists whose documents are all in one component are done;
+5. Links give components. Lists whose documents are all in one component are done;
    the others get new centres. After `ROUNDS` rounds the pairs of one list that are
    still in different components are compared one by one, so no link is lost.
 
@@ -32,15 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidspark.llm import arrowtext as at
+from evidspark.llm.store import release
 from evidspark.runtime import forget, materialize, ship
 
 #: Sketch size, and the common values that any pair of 0.8 has but for a chance below 1e-9.
 K, COMMON = 24, 6
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -97,14 +102,33 @@ def prefixes(reps: DataFrame, k: int = K, common: int = COMMON) -> DataFrame:
     values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     frequency = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(frequency, "v")
-    from pyspark.sql import Window
-
     own = Window.partitionBy("id")
     least = F.greatest(F.lit(1), F.floor(F.col("s") * common / k))
     ranked = shared.withColumn("place", F.col("s") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "v")))
     return ranked.where(F.col("place") <= F.col("s") - least + 1).select("v", "id", "n")
 
 
+def bands(lists: DataFrame, percent: int) -> DataFrame:
+    """The lists split by size: a document is in the band of its size and in the next one, so two of similar size always meet."""
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
+    return lists.select(F.explode(F.array(F.xxhash64("v", band), F.xxhash64("v", band + 1))).alias("v"), "id", "n")
+
+
+def within_reach(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (v, id, n) that may be similar to another member, by how many of their shingles any other candidate has."""
+    single = sets.select("id", F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
+    shared = lists.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = shared.groupBy("v").agg(F.min("n").alias("least"))
+    # percent * (n + k - m) <= 100 * m for the smallest k of the list.
+    return shared.join(least, "v").where((F.col("n") + F.col("least") - F.col("m")) * percent <= F.col("m") * 100).select("v", "id", "n")
+
+
+def crowded(lists: DataFrame) -> DataFrame:
+    """Lists of two members or more."""
+    return lists.join(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v")
+
+
 def _near(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int, common: int) -> DataFrame:
     """The pairs (a, b) that pass the union sketch and then the exact coefficient."""
     a = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -142,16 +166,18 @@ def _similar_sizes(percent: int):
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K, common: int = COMMON) -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(sketch(docs, size, k), "sketches")
     reps = materialize(rows.where("id is not null and cls is not null").groupBy("cls", "n").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")), "classes")
-    lists = materialize(prefixes(reps.select("id", "n", "sketch"), k, common), "lists")
-    crowded = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
-    lists = lists.join(crowded, "v")
-    wanted = lists.select("id").distinct()
+    first = materialize(crowded(bands(prefixes(reps.select("id", "n", "sketch"), k, common), percent)), "lists")
+    wanted = first.select("id").distinct()
     sets = materialize(full_sets(docs.join(wanted, "id"), size), "sets")
+    lists = materialize(crowded(within_reach(first, sets, percent)), "lists")
+    forget(first)
+    release(spark)
     id_kind = docs.schema["id"].dataType.simpleString()
-    links, labels, tested = None, None, []
+    links, labels = None, None
     for turn in range(ROUNDS + 1):
         if labels is None:
             open_ = lists.withColumn("comp", F.col("id"))
@@ -171,7 +197,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         pairs = pairs.where(_similar_sizes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialize(_near(pairs, reps, sets, percent, k, common), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if turn == 0 or not found.isEmpty():
+            labels = components(links)
+    forget(lists)
+    forget(sets)
     classes = reps.select("cls", F.col("n").alias("rn"), F.col("id").alias("rep"))
     final = rows.select("id", "n", "cls").join(classes, (rows["cls"] == classes["cls"]) & (F.col("n") == F.col("rn")), "left").select("id", "n", "rep")
     if labels is not None:
