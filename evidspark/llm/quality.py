@@ -101,7 +101,9 @@ def clean_documents(docs: DataFrame, text_col: str = "text", count_col: str | No
     """The kept documents without their failing lines; columns as they came, count_col is the new length."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kept = _judged(rows).where("kept")
+    # A plain filter would be pushed below the verdict and compute all of it again; a generator stays where it is.
+    verdict = F.struct("row", "clean_text", "kept")
+    kept = _judged(rows).select(F.inline(F.filter(F.array(verdict), lambda v: v["kept"])))
 
     def value(c: str) -> Column:
         if c == text_col:
