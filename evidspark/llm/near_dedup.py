@@ -173,6 +173,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     first = materialize(crowded(bands(prefixes(reps.select("id", "n", "sketch"), k, common), percent)), "lists")
     wanted = first.select("id").distinct()
     sets = materialize(full_sets(docs.join(wanted, "id"), size), "sets")
+    release(spark)
     lists = materialize(crowded(within_reach(first, sets, percent)), "lists")
     forget(first)
     release(spark)

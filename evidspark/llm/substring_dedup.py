@@ -25,18 +25,18 @@ touched. Extra columns are not read by the query and kept by the document form.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidspark.llm import arrowtext as at
 from evidspark.llm.fm_index import FMIndex
+from evidspark.llm.store import release
 from evidspark.runtime import forget, materialize, ship
 
 WINDOW, GRAM = 13, 4
@@ -46,12 +46,6 @@ HOT = 50_000
 INDEX_WORDS = 1 << 18
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are written and done."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def segments(words: at.Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes of 48 bits, first word, number of windows, anchor) of a slice's segments."""
     h = words.hashes() >> np.uint64(16)
@@ -211,12 +205,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     pairs = named.mapInArrow(_pairs, f"m bigint, id {kind}")
     common = pairs.groupBy("m").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x != y").select("m", (F.col("n") > HOT).alias("hot"))
     lists = materialize(pairs.join(common, "m").groupBy("id").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("m"))).alias("hot")), "anchors")
-    _release(spark)
+    release(spark)
     sent = named.withColumn("tid", F.xxhash64("text")).join(lists, "id").mapInArrow(_send, f"m bigint, id {kind}, tid bigint, start int, body binary")
     found = sent.repartition("m").sortWithinPartitions("m").mapInArrow(_match, f"id {kind}, tid bigint, lo int, hi int")
     spans = materialize(found.groupBy("id", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
     forget(lists)
-    _release(spark)
+    release(spark)
     return spans
 
 
