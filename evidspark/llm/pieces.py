@@ -14,8 +14,8 @@ model is read), so a text is cut there and each distinct word is encoded once pe
 words is bounded and only saves time.
 
 A null text has null ids; an empty one has none. Decoding gives back the text exactly
-if the model keeps white space and its normalizer is the identity; other normalizers
-are refused. Repeated rows and extra columns are no special case.
+but for U+2581, which the model can't tell from a space; models that normalize or
+squeeze white space are refused. Repeated rows and extra columns are no special case.
 """
 
 from __future__ import annotations
@@ -240,6 +240,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        text = text.replace(SPACE, " ")  # the model sees no difference
         if self.model.dummy:
             text = " " + text
         known, ids = self.known, []
