@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidspark.llm import decontaminate, langid, licenses, near_dedup, pieces, pii, quality, secrets, sharding, substring_dedup
+from evidspark.llm.oracles import ORACLES
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
