@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidspark.functions.text import dot, fold_value, norm
-from evidspark.operators.index import chunk_tokens, describe, idf, lexemes_of, match, parse_websearch, query_words
+from evidspark.operators.index import chunk_tokens, describe, idf, lexemes_of, match, mentioning, parse_websearch, query_words
 
 
 def fts(chunks: DataFrame, query: str, fetch: int, stop_words: Iterable[str] = (), allowed: DataFrame | None = None) -> DataFrame:
     """chunk_id, document_id, chunk_index, score of chunks that match all of the query, best first."""
     base = chunks if allowed is None else chunks.join(allowed, "document_id", "left_semi")
-    tokens = chunk_tokens(base)
     groups = parse_websearch(query, stop_words)
+    tokens = chunk_tokens(mentioning(base, [w for g in groups for i in g for w in i.words]))
     ids = base.select("chunk_id", "document_id", "chunk_index")
     return match(tokens, groups, ids).join(ids, "chunk_id").orderBy(F.desc("score"), "document_id", "chunk_index", "chunk_id").limit(fetch)
 
@@ -41,7 +41,7 @@ def any_word(chunks: DataFrame, query: str, stop_words: Iterable[str] = ()) -> D
     if not found:
         return chunks.select("chunk_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank")).limit(0)
     words = sorted({w for t in found for w in t})
-    hits = chunk_tokens(chunks).where(F.col("lexeme").isin(*words)).groupBy("chunk_id").agg(*[F.collect_list(F.when(F.col("lexeme") == w, F.col("pos"))).alias(f"p_{k}") for k, w in enumerate(words)])
+    hits = chunk_tokens(mentioning(chunks, words)).where(F.col("lexeme").isin(*words)).groupBy("chunk_id").agg(*[F.collect_list(F.when(F.col("lexeme") == w, F.col("pos"))).alias(f"p_{k}") for k, w in enumerate(words)])
 
     def at(term: tuple[str, ...]):
         place = F.col(f"p_{words.index(term[0])}")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidspark.functions.text import fold_value, tokens
+from evidspark.functions.text import fold, fold_value, tokens
 
 MAX_WORDS = 32
 Stemmer = Callable[[Column], Column]
@@ -24,6 +24,14 @@ def chunk_tokens(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "c
     return chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "lexeme"))
 
 
+def mentioning(chunks: DataFrame, words: Iterable[str], text_col: str = "chunk_raw") -> DataFrame:
+    """Chunks whose folded text holds any of the words, even inside others; the rest need no tokens."""
+    import re
+
+    pattern = "|".join(re.escape(w) for w in sorted(set(words)))
+    return chunks.where(fold(F.col(text_col)).rlike(pattern)) if pattern else chunks
+
+
 def stems(literal: DataFrame, stop_words: Iterable[str] = (), stemmer: Stemmer | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """The stem configuration of (chunk_id, pos, lexeme)."""
     words = sorted({fold_value(w) for w in stop_words})
