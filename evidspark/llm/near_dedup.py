@@ -121,7 +121,27 @@ def within_reach(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = lists.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = shared.groupBy("v").agg(F.min("n").alias("least"))
     # percent * (n + k - m) <= 100 * m for the smallest k of the list.
-    return shared.join(least, "v").where((F.col("n") + F.col("least") - F.col("m")) * percent <= F.col("m") * 100).select("v", "id", "n")
+    return shared.join(least, "v").where((F.col("n") + F.col("least") - F.col("m")) * percent <= F.col("m") * 100).select("v", "id", "n", "m")
+
+
+def _possible(percent: int):
+    """Whether sizes na, nb with ma, mb shared shingles leave room for the similarity."""
+    most = F.least("ma", "mb")
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
+
+
+def with_partner(lists: DataFrame, percent: int) -> DataFrame:
+    """Members (v, id, n, m, comp) that some member of another component may be similar to.
+
+    Members of one list with equal n and m are alike here, so these kinds are compared, not
+    the members: their number depends on the size of the sets, not on that of the group.
+    """
+    kinds = lists.groupBy("v", "n", "m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    a = kinds.select("v", F.col("n").alias("na"), F.col("m").alias("ma"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = kinds.select("v", F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    apart = F.least("la", "lb") != F.greatest("ha", "hb")
+    kept = a.join(b, "v").where(_possible(percent) & apart).select("v", F.col("na").alias("n"), F.col("ma").alias("m")).distinct()
+    return lists.join(kept, ["v", "n", "m"], "left_semi")
 
 
 def crowded(lists: DataFrame) -> DataFrame:
@@ -160,10 +180,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _similar_sizes(percent: int):
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
-
-
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = K, common: int = COMMON) -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
@@ -185,21 +201,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         else:
             open_ = lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             mixed = open_.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("v")
-            open_ = materialize(open_.join(mixed, "v"), "open")
-            if open_.isEmpty():
-                break
+            open_ = open_.join(mixed, "v")
+        open_ = materialize(with_partner(open_, percent), "open")
+        if open_.isEmpty():
+            break
         if turn < ROUNDS:
-            chosen = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h") if turn else F.col("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
-            pairs = open_.join(open_.groupBy("v").agg(chosen.alias("c")), "v").where("comp != c.ca").select("c.a", "c.na", F.col("id").alias("b"), F.col("n").alias("nb"))
+            place = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+            chosen = F.min(F.struct(place.alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca")))
+            pairs = open_.join(open_.groupBy("v").agg(chosen.alias("c")), "v").where("comp != c.ca").select("c.a", "c.na", "c.ma", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
         else:
-            left = open_.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            right = open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            left = open_.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
+            right = open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
             pairs = left.join(right, "v").where("ca != cb and a < b")
-        pairs = pairs.where(_similar_sizes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialize(_near(pairs, reps, sets, percent, k, common), "links")
         links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
+        if not found.isEmpty():
             labels = components(links)
+        forget(open_)
     forget(lists)
     forget(sets)
     classes = reps.select("cls", F.col("n").alias("rn"), F.col("id").alias("rep"))
