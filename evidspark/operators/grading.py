@@ -66,17 +66,16 @@ def batch_of(rank: Column, size: int = BATCH) -> Column:
     return F.floor((rank - 1) / size).cast("int")
 
 
-def prompt_lines(hits: DataFrame) -> DataFrame:
-    """chunk_id, batch, line: one escaped JSON line for each candidate."""
+def prompt_lines(hits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, chunk_id, candidate_rank, batch, line: one escaped JSON line for each candidate."""
     row = F.struct(F.col("candidate_rank").alias("id"), F.col("section"), F.col("chunk_raw").alias("text"))
-    return hits.select("chunk_id", batch_of(F.col("candidate_rank")).alias("batch"), escaped_json(row).alias("line"))
+    return hits.select(*keys, "chunk_id", "candidate_rank", batch_of(F.col("candidate_rank")).alias("batch"), escaped_json(row).alias("line"))
 
 
-def prompts(hits: DataFrame, question: str) -> DataFrame:
-    """batch, prompt: the lines of a batch in order, the question last."""
-    lines = prompt_lines(hits).join(hits.select("chunk_id", "candidate_rank"), "chunk_id")
-    grouped = lines.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("candidate_rank", "line"))).alias("x"))
-    return grouped.select("batch", F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n" + " ".join(question.split()))).alias("prompt"))
+def prompts(hits: DataFrame, question: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, batch, prompt: the lines of a batch in order, the question last; keys tell candidate lists apart."""
+    grouped = prompt_lines(hits, keys).groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("candidate_rank", "line"))).alias("x"))
+    return grouped.select(*keys, "batch", F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n" + " ".join(question.split()))).alias("prompt"))
 
 
 def cached(hits: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

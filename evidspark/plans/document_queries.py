@@ -77,8 +77,11 @@ def usage_sum(spark, sf_dir):
 
 @query()
 def grading_prompts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id < 60").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") + 1).cast("int").alias("candidate_rank"), F.col("source").alias("section"), F.col("text").alias("chunk_raw"))
-    return grading.prompts(rows, "what is <this>?")
+    """Every document is a candidate: one list for each block of 40 ids, which makes two batches."""
+    rows = table(spark, sf_dir, "documents").withColumn("question_id", F.expr("doc_id div 40"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id"))
+    rows = rows.select("question_id", F.col("doc_id").alias("chunk_id"), rank.alias("candidate_rank"), F.col("source").alias("section"), F.col("text").alias("chunk_raw"))
+    return grading.prompts(rows, "what is <this>?", ("question_id",))
 
 
 # --- evidence --------------------------------------------------------------------------
