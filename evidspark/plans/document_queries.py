@@ -94,12 +94,13 @@ def per_document_cap(spark, sf_dir):
 
 
 def _pack_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_chunks(spark, sf_dir).where("chunk_index < 12").withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")))
+    """Every line of every document is a candidate; one question for each block of 8 ids."""
+    rows = line_chunks(spark, sf_dir).withColumns({"chunk_id": F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")), "question_id": F.expr("document_id div 8")})
     return rows.select(
-        (F.col("document_id") % 50).alias("question_id"), "document_id", "chunk_id", "chunk_index", "section",
-        F.row_number().over(Window.partitionBy(F.col("document_id") % 50).orderBy(F.xxhash64("chunk_id"))).alias("rank"),
+        "question_id", "document_id", "chunk_id", "chunk_index", "section",
+        F.row_number().over(Window.partitionBy("question_id").orderBy(F.xxhash64("chunk_id"), "chunk_id")).alias("rank"),
         (F.col("token_count") * 10).cast("int").alias("cost"), (F.col("chunk_index") % 4).alias("rerank_grade"), "token_count", "chunk_raw",
-    ).where("rank <= 40")
+    )
 
 
 @query()
