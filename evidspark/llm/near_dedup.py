@@ -60,7 +60,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.nda
                 own = np.sort(g[a : b - size + 1])
                 out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif n:
-                short = at.mix(np.cumsum(h[a:b] * np.uint64(at._BASE) + np.arange(n, dtype=np.uint64), dtype=np.uint64)[-1:] + np.uint64(n))
+                short = at.mix(at.grams(h[a:b], n) + np.uint64(n))
                 out.append((short >> np.uint64(1)).astype(np.int64))
             else:
                 out.append(np.empty(0, np.int64))
