@@ -1,16 +1,19 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, plus signs, digits and cue words in one
-pass over a text; small deterministic parsers expand each anchor to the boundaries
-of an email address, network address, card, phone or account number and validate it.
+An Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and cue words in
+one pass over an ASCII-lowered copy of a text that has its length; small deterministic
+parsers expand each anchor to the boundaries of an email address, network address,
+card, phone, account number or link and validate it.
 Work is proportional to the anchors, and each parser remembers where it stopped, so
 a span is never parsed twice.
 
 Base kinds email, ip, card and phone follow the contract's expressions: leftmost,
 not overlapping within a kind, failing ones dropped without a retry. The method adds
-iban (country, check digits and up to 30 characters that pass modulo 97) and account
-(a cue such as "account no" or "ssn" followed by 6 to 17 digits), listed after the
-base kinds. Positions are code points, ends exclusive. A null text is empty and has
+iban (country, check digits and up to 30 characters that pass modulo 97), account
+(a cue such as "account no" or "ssn" in any case, maybe "number" or "no", then 6 to 17
+digits) and url (a scheme that no letter or digit precedes, with its address: a link up
+to white space, quotes or brackets, without the punctuation that ends a sentence; for
+mailto an email address; for tel 5 to 15 digits), listed after the base kinds. Positions are code points, ends exclusive. A null text is empty and has
 no spans; repeated rows are scanned each on its own.
 """
 
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from evidspark.runtime import ship
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "account")
+KINDS = (*BASE, "iban", "account", "url")
 CUES = ("account no", "account number", "acct", "kontonummer", "ssn", "social security")
+SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +41,10 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[ :]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"[ .:#]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_ACCOUNT = re.compile(r"(?:[ .:#]{0,2}(?i:number|no)(?![A-Za-z]))?[ .:#]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_LINK = re.compile(r"[A-Za-z0-9_\[\x80-\U0010ffff][^\s<>\"'`{}|\\^]*")
+_MAILTO = re.compile(r"[A-Za-z0-9._%+-]+(?:@|%40)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_TEL = re.compile(r"\+?\(?[0-9](?:[().-]*[0-9]){4,14}(?![0-9])")
 _automata: list = []
 
 
@@ -50,11 +57,11 @@ def _automaton():
             a.add_word(c, ("digit", 1))
         a.add_word("@", ("at", 1))
         a.add_word("+", ("plus", 1))
-        for word in ("IBAN", "iban", "Iban"):
-            a.add_word(word, ("iban", len(word)))
+        a.add_word("iban", ("iban", 4))
         for cue in CUES:
-            for word in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(word, ("account", len(word)))
+            a.add_word(cue, ("account", len(cue)))
+        for scheme in SCHEMES:
+            a.add_word(scheme, ("url", len(scheme)))
         a.make_automaton()
         _automata.append(a)
     return _automata[0]
@@ -79,11 +86,33 @@ def _iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _lowered(text: str) -> str:
+    """text with A-Z in lower case, as long as before."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _address_end(text: str, p: int, size: int, low: str) -> int:
+    """The end of the address behind the scheme at p, or p if there is none."""
+    if low.startswith(("mailto", "tel"), p):
+        m = (_MAILTO if low[p] == "m" else _TEL).match(text, p + size)
+        return m.end() if m else p
+    if not (m := _LINK.match(text, p + size)):
+        return p
+    end = m.end()
+    spare = {c: m[0].count(c) - m[0].count(o) for o, c in ("()", "[]")}
+    while text[end - 1] in ".,;:!?" or spare.get(text[end - 1], 0) > 0:
+        if text[end - 1] in spare:
+            spare[text[end - 1]] -= 1
+        end -= 1
+    return end if end > p + size else p
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order of position."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (anchor, size) in _automaton().iter(text):
+    low = _lowered(text)
+    for last, (anchor, size) in _automaton().iter(low):
         p = last - size + 1
         if anchor == "digit":
             if p >= done["ip"]:
@@ -113,6 +142,10 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 done["phone"] = m.end()
                 if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                     out["phone"].append(m.span())
+        elif anchor == "url":
+            if p >= done["url"] and not (p and text[p - 1].isalnum()) and (end := _address_end(text, p, size, low)) > p:
+                done["url"] = end
+                out["url"].append((p, end))
         elif p >= done[anchor]:
             m = (_IBAN if anchor == "iban" else _ACCOUNT).match(text, p + size)
             if m and (anchor == "account" or _iban(m[1])):

@@ -2,7 +2,7 @@
 
 import brute
 
-from evidspark.llm import near_dedup
+from evidspark.llm import near_dedup, pii
 
 
 def test_near_dedup_short_permuted(spark):
@@ -13,3 +13,25 @@ def test_near_dedup_short_permuted(spark):
     assert out == brute.near_dups(rows)
     kept = {r.doc_id for r in near_dedup.keep_one(docs, size=5).collect()}
     assert kept == {i for i, t in rows if t.lower() not in {x.lower() for x in texts[:i]}}
+
+
+def found(text, kind):
+    return [text[a:b] for a, b in pii.find_spans(text)[kind]]
+
+
+def test_pii_cues():
+    for cue in ("Account Number: ", "Account No ", "ACCOUNT no. ", "Social Security Number: ", "Acct. No. ", "SSN ", "sSn number ", "account no: ", "\u0130 Kontonummer #"):
+        text = f"My {cue}123-45-6789, thanks"
+        assert found(text, "account") == ["123-45-6789"], cue
+        assert pii.redact(text, pii.find_spans(text)) == f"My {cue}[ACCOUNT], thanks"
+    assert found("Account Nobody 123456789, account number 12", "account") == []
+    assert found("\u0130\u0130 Iban CZ65 0800 0000 1920 0014 5399.", "iban") == ["CZ65 0800 0000 1920 0014 5399"]
+
+
+def test_pii_schemes():
+    text = "See HTTPS://ex.org/a_(b)?q=1, (http://user:pw@h.cz/x). \u0130 <ftp://f.cz/> mailto:a%40b.cz; Tel:777-123-456 http://a.cz/?u=http://b.cz"
+    assert found(text, "url") == ["HTTPS://ex.org/a_(b)?q=1", "http://user:pw@h.cz/x", "ftp://f.cz/", "mailto:a%40b.cz", "Tel:777-123-456", "http://a.cz/?u=http://b.cz"]
+    assert pii.redact("call tel:777123456 or http://x.cz.", pii.find_spans("call tel:777123456 or http://x.cz.")) == "call [URL] or [URL]."
+    assert found("hotel:777123456 xhttp://a.cz http:// tel:12 mailto:nobody http://...", "url") == []
+    mixed = "mailto:a@b.cz http://1.2.3.4/ tel:+420777123456"
+    assert brute.pii(mixed)[:4] == tuple(len(pii.find_spans(mixed)[k]) for k in pii.BASE) == (1, 1, 0, 1)
