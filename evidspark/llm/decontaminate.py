@@ -5,8 +5,9 @@ over the shard's words. Suffixes whose first two words start no benchmark window
 can't take part in any match, so the array is sparse: it holds the others, sorted
 word by word. Every window start of every item is looked up by binary search, one
 word deeper at a time, which narrows all intervals together. What is left after the
-last word are all verbatim occurrences, with their places; they are then extended
-word by word to the longest match.
+last word are all verbatim occurrences, with their places. longest_match is the longest
+run of words that windows cover, as in the SQL: hits are not extended against the texts
+of their items, so passages of several items that touch or overlap count as one run.
 
 The benchmark is broadcast in blocks of at most `block_bytes` of text; a larger
 benchmark takes several passes whose hits are merged per document.
@@ -135,7 +136,7 @@ def covered(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], list[list[list[int]]], list[list[str]], list[int]]]:
-    """Per slice of documents: first document, word counts, merged hit intervals [start, end), item ids, longest match."""
+    """Per slice of documents: first document, word counts, merged hit intervals [start, end), item ids, longest run."""
     raw, offsets = at.buffers(column)
     for i, j in at.slices(offsets, SHARD_BYTES):
         words = at.Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], at.ALNUM_LOWER)
@@ -153,7 +154,7 @@ def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], l
             place = array.at[np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
             doc = np.searchsorted(words.at, place, "right") - 1
             mask = covered(len(h), place, bench.length[which])
-            # Runs of hit words inside a document; the longest run is the longest verbatim stretch.
+            # Runs of hit words inside a document.
             edge = np.zeros(len(h) + 1, bool)
             edge[words.at] = True
             first = np.flatnonzero(mask & (~np.concatenate([[False], mask[:-1]]) | edge[:-1]))
