@@ -16,7 +16,8 @@ Words are lower-cased runs of ASCII letters and digits and of anything outside
 ASCII. A window is `window` consecutive words of an item; a shorter item with at
 least one word is one window. Null texts have no words and are never hit. Items
 without words match nothing. Repeated rows are judged each on its own; a repeated
-item_id counts once. Empty tables give no rows (no documents) or no hits (no items).
+item_id counts once. Items without an id hit like any other, count together as one
+item and add nothing to the list of ids that is hashed. Empty tables give no rows (no documents) or no hits (no items).
 Only the named columns are read, so extra columns never clash.
 """
 
@@ -39,6 +40,11 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 
 
+def _sorted_ids(ids: set) -> list:
+    """The ids in order, the missing one last."""
+    return sorted(ids, key=lambda x: (x is None, x or ""))
+
+
 class Benchmark:
     """The distinct windows of a block of items, as rows of word hashes."""
 
@@ -52,13 +58,13 @@ class Benchmark:
                 n = min(window, len(own))
                 for k in range(len(own) - n + 1 if n else 0):
                     found.setdefault(tuple(own[k : k + n]), set()).add(i)
-        self.ids = [str(x) for x in ids]
+        self.ids = [x if x is None else str(x) for x in ids]
         keys = sorted(found)
         self.length = np.array([len(k) for k in keys], np.int64)
         self.words = np.zeros((len(keys), window), np.uint64)
         for i, k in enumerate(keys):
             self.words[i, : len(k)] = k
-        self.items = [sorted({self.ids[x] for x in found[k]}) for k in keys]
+        self.items = [_sorted_ids({self.ids[x] for x in found[k]}) for k in keys]
         self.one = np.unique(self.words[self.length == 1, 0]) if keys else np.empty(0, np.uint64)
         two = self.words[self.length > 1]
         self.two = np.unique(two[:, 0] * np.uint64(3) + two[:, 1]) if len(two) else np.empty(0, np.uint64)
@@ -135,7 +141,7 @@ def covered(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], list[list[list[int]]], list[list[str]], list[int]]]:
+def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], list[list[list[int]]], list[list[str | None]], list[int]]]:
     """Per slice of documents: first document, word counts, merged hit intervals [start, end), item ids, longest run."""
     raw, offsets = at.buffers(column)
     for i, j in at.slices(offsets, SHARD_BYTES):
@@ -143,7 +149,7 @@ def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], l
         n_docs = j - i
         counts = np.diff(words.at).tolist()
         spans: list[list[list[int]]] = [[] for _ in range(n_docs)]
-        items: list[list[str]] = [[] for _ in range(n_docs)]
+        items: list[list[str | None]] = [[] for _ in range(n_docs)]
         longest = np.zeros(n_docs, np.int64)
         h = words.hashes()
         array = SuffixArray(h, words.left(), bench) if len(h) and len(bench.length) else None
@@ -167,7 +173,7 @@ def hits(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int], l
             seen = np.unique(doc * len(n) + which)
             for d, w in zip((seen // len(n)).tolist(), (seen % len(n)).tolist(), strict=True):
                 items[d] += bench.items[w]
-        yield i, counts, spans, [sorted(set(x)) for x in items], longest.tolist()
+        yield i, counts, spans, [_sorted_ids(set(x)) for x in items], longest.tolist()
 
 
 _SPANS = pa.list_(pa.list_(pa.int64()))
@@ -175,7 +181,7 @@ _SPANS = pa.list_(pa.list_(pa.int64()))
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     ids, texts, held = [], [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     for r in rows.toLocalIterator():
         size = len(r["t"] or "") * 4
         if ids and held + size > block_bytes:

@@ -1,8 +1,10 @@
 """Cases of the training-data operators that an earlier round did not cover."""
 
 import brute
+import duckdb
 
-from evidspark.llm import near_dedup, pii
+from evidspark.llm import decontaminate, near_dedup, pii
+from evidspark.llm.oracles import DECONTAMINATE
 
 
 def test_near_dedup_short_permuted(spark):
@@ -35,3 +37,19 @@ def test_pii_schemes():
     assert found("hotel:777123456 xhttp://a.cz http:// tel:12 mailto:nobody http://...", "url") == []
     mixed = "mailto:a@b.cz http://1.2.3.4/ tel:+420777123456"
     assert brute.pii(mixed)[:4] == tuple(len(pii.find_spans(mixed)[k]) for k in pii.BASE) == (1, 1, 0, 1)
+
+
+def test_decontaminate_items_without_id(spark):
+    texts = ["start one two three four five six seven eight nine ten end", "alpha beta", "alpha gamma one two three four five six seven eight nine ten", None, "clean text"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = [(None, "one two three four five six seven eight nine ten"), (7, "gamma"), (None, "Alpha beta"), (8, "start one"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", documents), ("benchmark", benchmark)):
+        con.register(name, df.toArrow())
+    columns = con.sql(DECONTAMINATE).columns
+    for size in (decontaminate.BLOCK_BYTES, 60):
+        out = decontaminate.digest(decontaminate.find_contamination(documents, benchmark, block_bytes=size)).select(*columns).collect()
+        assert sorted(map(tuple, out)) == sorted(con.sql(DECONTAMINATE).fetchall())
+        assert {r.doc_id for r in decontaminate.remove_contaminated(documents, benchmark, block_bytes=size).collect()} == {3, 4}
+    assert {r.doc_id: r.n_items for r in out} == {0: 2, 1: 1, 2: 2, 3: 0, 4: 0}
