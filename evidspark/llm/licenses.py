@@ -82,7 +82,7 @@ _models: dict[str, tuple[LogisticRegressionModel, float]] = {}
 def grams_of(text: Column) -> Column:
     """Lower-case words and word pairs."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, 2, 1 << 20), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))))
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))))
 
 
 def training_phrases() -> list[tuple[str, str, int]]:

@@ -2,8 +2,9 @@
 
 import brute
 import duckdb
+from pyspark.sql import functions as F
 
-from evidspark.llm import decontaminate, near_dedup, pii
+from evidspark.llm import decontaminate, licenses, near_dedup, pii
 from evidspark.llm.oracles import DECONTAMINATE
 
 
@@ -53,3 +54,12 @@ def test_decontaminate_items_without_id(spark):
         assert sorted(map(tuple, out)) == sorted(con.sql(DECONTAMINATE).fetchall())
         assert {r.doc_id for r in decontaminate.remove_contaminated(documents, benchmark, block_bytes=size).collect()} == {3, 4}
     assert {r.doc_id: r.n_items for r in out} == {0: 2, 1: 1, 2: 2, 3: 0, 4: 0}
+
+
+def test_license_pairs_of_long_paragraphs(spark):
+    n = (1 << 20) + 5
+    texts = [(0, "x " * n + "Last Pair"), (1, "One two three"), (2, "one"), (3, ""), (4, None)]
+    grams = spark.createDataFrame(texts, "id int, text string").select("id", licenses.grams_of(F.col("text")).alias("g"))
+    out = {r.id: r for r in grams.select("id", F.size("g").alias("n"), F.array_contains("g", "last pair").alias("last"), F.slice("g", 1, 9).alias("g")).collect()}
+    assert out[0].last and out[0].n == 2 * (n + 2) - 1
+    assert out[1].g == ["one", "two", "three", "one two", "two three"] and out[2].g == ["one"] and out[3].g == []
