@@ -93,18 +93,13 @@ def near_dups(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
             x = top[x]
         return x
 
-    where: dict[tuple, list[int]] = {}
-    for d, s in sets.items():
-        for g in s:
-            where.setdefault(g, []).append(d)
-    shared: dict[tuple[int, int], int] = {}
-    for v in where.values():
-        v = sorted(v)
-        for i, a in enumerate(v):
-            for b in v[i + 1 :]:
-                shared[a, b] = shared.get((a, b), 0) + 1
-    for (a, b), n in shared.items():
-        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
-            x, y = sorted((find(a), find(b)))
-            top[y] = x
+    number: dict[tuple, int] = {}
+    bits = {d: sum(1 << number.setdefault(g, len(number)) for g in s) for d, s in sets.items()}
+    order = sorted(d for d in sets if sets[d])
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            n = (bits[a] & bits[b]).bit_count()
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
     return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}

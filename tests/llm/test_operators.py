@@ -67,12 +67,46 @@ def test_near_dedup_chains(spark):
     assert got(out, "n_shingles", "component_id", "kept") == brute.near_dups(rows)
 
 
+def test_near_dedup_large_group(spark):
+    """Thousands of near copies, most of them too far from each centre: the components are those of all pairs."""
+    rng = random.Random(7)
+    base = sentence(rng, 110).split()
+    common = sentence(rng, 30).split()
+    rows = []
+    for i in range(2500):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            words[rng.randrange(len(words))] += rng.choice("abcdefg")
+        rows.append((i, " ".join(words)))
+    rows += [(3000 + i, " ".join(common + sentence(rng, rng.choice([2, 5, 8, 30])).split())) for i in range(400)]
+    out = near_dedup.digest(near_dedup.link(frame(spark, rows), size=4))
+    assert got(out, "n_shingles", "component_id", "kept") == brute.near_dups(rows)
+
+
 def test_near_dedup_null_ids_and_repeats(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)]
     out = [tuple(r) for r in near_dedup.link(frame(spark, rows), size=4).select("id", "component_id", "kept").collect()]
     assert sorted(out, key=str) == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
 
 
+def test_near_dedup_id_with_several_texts(spark):
+    """Rows of one id are one document in link; keep_one judges texts, so each keeps a copy."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, None), (4, ""), (5, b), (5, None), (6, "x y z")]
+    out = {(r.id, r.component_id, r.kept) for r in near_dedup.link(frame(spark, rows), size=4).collect()}
+    assert out == {(0, 0, True), (1, 0, False), (2, 0, False), (5, 0, False), (3, 3, True), (4, 4, True), (6, 6, True)}
+    clash = frame(spark, rows).withColumns({"_gone": F.lit(1), "mark": F.lit(2), "cls": F.lit("c"), "kept": F.lit(False)})
+    left = near_dedup.keep_one(clash)
+    assert left.columns == clash.columns
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [(0, a), (1, b), (3, ""), (4, ""), (5, ""), (6, "x y z")]
+
+
+def test_keep_one_leaves_one_of_each_group(spark, docs):
+    left = [r.doc_id for r in near_dedup.keep_one(frame(spark, docs), size=4).collect()]
+    want = brute.near_dups(docs)
+    assert sorted(left) == sorted(d for d, w in want.items() if w[2])
+
+
 def test_substring(spark, docs):
     out = substring_dedup.digest(frame(spark, docs))
     assert got(out, "n_words", "n_removed", "kept_sha256") == brute.windows(docs)
