@@ -1,18 +1,36 @@
+import random
+from itertools import groupby, takewhile
+
 import pandas as pd
 import pytest
 
 from evidspark.operators.chunking import Chunker, Limits
 from evidspark.operators.context import greedy
-from evidspark.operators.pages import grids, settle
-from evidspark.operators.structure import drop_furniture, follows, guess_headings, normalize, promote_title, squeeze, take_contents, unwrap_tables
+from evidspark.operators.pages import grids, keep_cover, smooth
+from evidspark.operators.structure import Outline, drop_furniture, guess_headings, next_numbers, normalize, promote_title, squeeze, take_contents, unwrap_tables
+
+
+def plainly_settled(kinds):
+    """Run by run from the left, as the rule is told."""
+    out = list(kinds)
+    shown = [i for i, k in enumerate(kinds) if k != "empty"]
+    runs = [list(g) for _, g in groupby(shown, key=lambda i: kinds[i])]
+    for k in range(1, len(runs) - 1):
+        if len(runs[k]) < 2 and out[runs[k - 1][-1]] == out[runs[k + 1][0]]:
+            out = [out[runs[k - 1][-1]] if i in runs[k] else x for i, x in enumerate(out)]
+    lead = len(list(takewhile(lambda x: x == "form", out[:3])))
+    return ["prose"] * lead + out[lead:]
 
 
-def test_settle():
-    assert settle(["prose", "form", "prose"]) == ["prose"] * 3
-    assert settle(["prose", "form", "form", "form", "form"]) == ["prose"] + ["form"] * 4
-    assert settle(["form", "form", "prose", "prose"]) == ["prose"] * 4
-    assert settle(["prose", "prose", "form", "empty", "form"])[2:] == ["form", "empty", "form"]
-    assert settle([]) == [] and settle(["empty"]) == ["empty"]
+def test_settled_kinds(spark):
+    rng = random.Random(2)
+    pages = [["prose", "form", "prose"], ["prose", "form", "form", "form", "form"], ["form", "form", "prose", "prose"], ["prose", "prose", "form", "empty", "form"], ["empty"]]
+    pages += [rng.choices(["prose", "form", "empty"], [4, 4, 1], k=rng.randint(1, 14)) for _ in range(60)]
+    rows = spark.createDataFrame([(d, p, k) for d, own in enumerate(pages) for p, k in enumerate(own)], "document_id int, page_no int, kind string")
+    found = {(r.document_id, r.page_no): r.kind for r in keep_cover(smooth(rows)).collect()}
+    for d, own in enumerate(pages):
+        assert [found[d, p] for p in range(len(own))] == plainly_settled(own)
+    assert plainly_settled(pages[0]) == ["prose"] * 3 and plainly_settled(pages[2]) == ["prose"] * 4
 
 
 def test_tables():
@@ -33,8 +51,8 @@ def test_contents_blocks():
     assert rest == ["text"] * 60 and [r[2] for r in removals] == [5, 1]
 
 
-def test_follows():
-    assert follows((1,), (1, 1)) and follows((1, 2), (2,)) and follows((1, 2), (1, 3)) and not follows((1,), (3,))
+def test_next_numbers():
+    assert set(next_numbers((1,))) == {(1, 1), (2,)} and set(next_numbers((1, 2))) == {(1, 2, 1), (1, 3), (2,)}
 
 
 def test_guess_headings():
@@ -55,6 +73,14 @@ def test_outline_with_children_and_detached():
     assert report.source == "toc" and "3." not in text.splitlines()
 
 
+def test_child_numbers_that_stand_alone():
+    titles = {"1": "Intro", "2": "Geology", "3": "End"}
+    lines = ["1. Intro", "2. Geology", "2.1", "", "Drilled wells", "2.1.1 Depth", "2.3 Third", "2.2 Too late", "2.4.", "3. End", "2.5 Elsewhere"]
+    built = Outline(lines, titles).build()
+    assert built.render() == ["## 1. Intro", "## 2. Geology", "", "", "### 2.1. Drilled wells", "#### 2.1.1 Depth", "### 2.3 Third", "2.2 Too late", "2.4.", "## 3. End", "2.5 Elsewhere"]
+    assert len(built.at) == 6
+
+
 def test_title():
     lines, done = promote_title(["Ing. Jan Malý", "Praha 8, 180 00", "Geologický průzkum lokality", "## 1. Úvod"])
     assert done and lines[0] == "# Geologický průzkum lokality"
