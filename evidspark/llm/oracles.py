@@ -64,7 +64,10 @@ DECONTAMINATE = rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_A
  g AS (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS k FROM t, s WHERE len(w) >= n),
  h AS (SELECT doc_id, i, g.n, item_id FROM g JOIN bw ON bw.k = g.k AND bw.n = g.n),
  c AS (SELECT DISTINCT doc_id, i + x AS p FROM h, range(10) q(x) WHERE x < n),
- run AS (SELECT doc_id, count(*) AS len FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM c) GROUP BY doc_id, island),
+ o AS (SELECT row_number() OVER () AS item, least(10, len(w)) AS n, w FROM b WHERE len(w) > 0),
+ bo AS (SELECT item, n, unnest(range(len(w) - n + 1)) AS j, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS k FROM o),
+ d AS (SELECT doc_id, item, i, i - j AS aside, g.n FROM g JOIN bo ON bo.k = g.k AND bo.n = g.n),
+ run AS (SELECT doc_id, count(*) + n - 1 AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, aside, n ORDER BY i) AS island FROM d) GROUP BY doc_id, item, aside, n, island),
  x AS (SELECT doc_id, count(*) AS n_hit FROM c GROUP BY 1), l AS (SELECT doc_id, max(len) AS longest FROM run GROUP BY 1),
  y AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::varchar, ',' ORDER BY item_id::varchar) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
  SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest_match

@@ -103,3 +103,44 @@ def near_dups(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
                 x, y = sorted((find(a), find(b)))
                 top[y] = x
     return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+
+
+def alnum_words(text: str | None) -> list[str]:
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def decontaminate(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> dict[int, tuple]:
+    where: dict[tuple, set[str]] = {}
+    for i, t in items:
+        w = alnum_words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            where.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = {}
+    for d, t in docs:
+        w = alnum_words(t)
+        hit, found = set(), set()
+        for n in {len(x) for x in where}:
+            for k in range(len(w) - n + 1):
+                if (names := where.get(tuple(w[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    found |= names
+        out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
+    return out
+
+
+def longest_match(text: str | None, items: list[tuple[int, str | None]], window: int = 10) -> int:
+    """Longest common run of words of the text and one item, from a window (or a whole shorter item) on."""
+    w, best = alnum_words(text), 0
+    for _, t in items:
+        v = alnum_words(t)
+        before = [0] * (len(v) + 1)
+        for x in w:
+            now = [0] * (len(v) + 1)
+            for k, y in enumerate(v):
+                now[k + 1] = before[k] + 1 if x == y else 0
+            before = now
+            if v and max(now) >= min(window, len(v)):
+                best = max(best, max(now))
+    return best

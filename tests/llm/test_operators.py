@@ -130,16 +130,32 @@ def test_decontaminate(spark, docs):
     texts = [t for _, t in docs if t and len(t.split()) > 30][:8]
     items = [(1, " ".join(texts[0].split()[3:20])), (2, None), (3, "one"), (4, texts[1].upper()), (10, sentence(rng, 25)), (5, "!!!"), (6, "TWO Words")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    want = {r[0]: r[1:] for r in decontaminate.brute(docs, items)}
+    want = brute.decontaminate(docs, items)
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got(decontaminate.digest(decontaminate.find_contamination(frame(spark, docs), bench)), *columns) == want
     assert got(decontaminate.digest(decontaminate.find_contamination(frame(spark, docs), bench, block_bytes=200)), *columns) == want
+    few = [(i, x) for i, x in docs if len(x or "") < 3000]
+    for size in (200, decontaminate.BLOCK_BYTES):
+        told = decontaminate.find_contamination(frame(spark, few + few[:3]), bench, block_bytes=size).collect()
+        assert sorted((r.id, r.longest) for r in told) == sorted((i, brute.longest_match(x, items)) for i, x in few + few[:3])
     kept = {r.doc_id for r in decontaminate.remove_contaminated(frame(spark, docs), bench).collect()}
     assert kept == {i for i, w in want.items() if not w[-1]}
     none = decontaminate.digest(decontaminate.find_contamination(frame(spark, docs), bench.limit(0)))
     assert not any(x for (x,) in got(none, "contaminated").values())
 
 
+def test_longest_match_is_of_one_item(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [("a", " ".join(words[:10])), ("b", " ".join(words[10:20])), ("c", " ".join(words[20:35])), ("d", "solo"), (None, " ".join(words[25:40]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, " ".join(words[:20])), (2, "x " + " ".join(words[20:35]) + " solo"), (3, "solo"), (4, " ".join(words)), (5, None), (6, " ".join(words[3:12])), (7, " ".join(words[:12] * 3))]
+    for size in (10, decontaminate.BLOCK_BYTES):
+        told = {r.id: r for r in decontaminate.find_contamination(frame(spark, rows), bench, block_bytes=size).collect()}
+        assert {i: r.longest for i, r in told.items()} == {i: brute.longest_match(t, items) for i, t in rows} == {1: 10, 2: 15, 3: 1, 4: 15, 5: 0, 6: 0, 7: 10}
+        assert sorted((m.item, m.start, m.length) for m in told[2].matches if m.item) == [("c", 1, 15), ("d", 16, 1)]
+        assert [[list(s) for s in told[i].spans] for i in (1, 2, 3)] == [[[0, 20]], [[1, 17]], [[0, 1]]]
+
+
 PII = [
     (0, None), (1, ""), (2, "mail a.b+c@d-e.co.uk, x@y.z@w.v and @no.com or a@b"), (3, "ip 1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255 1.2.3."),
     (4, "4111 1111 1111 1111 and 4111-1111-1111-1112 4 9"), (5, "+1 (743) 555-3824 +12 +1-2-3-4-5-6-7-8 tel +420 777 123 456 ++12345678"),

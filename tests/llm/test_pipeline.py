@@ -2,7 +2,7 @@ import brute
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from evidspark.llm import decontaminate, pii, quality  # noqa: E402
+from evidspark.llm import pii, quality  # noqa: E402
 
 
 def test_stages(spark, data):
@@ -22,7 +22,7 @@ def test_stages(spark, data):
     two = rows(b := stage["near_duplicates"](spark, a, data).cache())
     assert 0 < len(two) < len(one) and all(one[i] == t for i, t in two.items())
     three = rows(c := stage["decontamination"](spark, b, data).cache())
-    dirty = {r[0] for r in decontaminate.brute(list(two.items()), bench) if r[-1]}
+    dirty = {d for d, w in brute.decontaminate(list(two.items()), bench).items() if w[-1]}
     assert set(three) == set(two) - dirty
     four = rows(d := stage["personal_data"](spark, c, data))
     assert four == {i: pii.redact(t, pii.find_spans(t)) for i, t in three.items()}
