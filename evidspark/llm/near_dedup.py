@@ -204,24 +204,28 @@ def apart(open_: DataFrame, centre: DataFrame, sets: DataFrame, percent: int) ->
     Lists with one pivot become one. d is the number of shingles that only the member or only the pivot
     has, w = (100 + percent) * d - (100 - percent) * n. Two members are similar if the sum of their w,
     less 2 * (100 + percent) for each element that both of these sets have, is not above 0. need is the
-    fewest such elements with any member, at least one of the two not similar to the pivot, and rest holds
-    the elements that other members have too, rarest first. Members with too few of them are left out.
+    fewest such elements with any member, at least one of the two not similar to the pivot. rest holds
+    the member's elements that other members have too, rarest first, then the pivot's that it lacks.
+    Members with too few of them are left out.
     """
     members = open_.join(centre.select("v", "g", "ng"), "v").where("cls != g").select("g", "ng", "cls", "n", "m").distinct()
     own = sets.select("cls", F.col("members").alias("x"))
     pivot = sets.select(F.col("cls").alias("g"), F.col("members").alias("y"))
-    diff = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    told = members.join(own, "cls").join(pivot, "g").select("g", "ng", "cls", "n", "m", diff.alias("diff")).withColumn("d", F.size("diff"))
+    more, less = F.array_except("x", "y").alias("more"), F.array_except("y", "x").alias("less")
+    told = members.join(own, "cls").join(pivot, "g").select("g", "ng", "cls", "n", "m", more, less).withColumn("d", F.size("more") + F.size("less"))
     told = told.withColumn("w", F.col("d") * (100 + percent) - F.col("n") * (100 - percent))
     far = F.col("w") > F.col("ng") * (100 - percent)
-    told = materialize(told.withColumn("far", far), "apart")
+    # A hot pivot's members were read together; what follows goes by member.
+    told = materialize(told.withColumn("far", far).repartition("cls", "g"), "apart")
     best = told.groupBy("g").agg(F.min("w").alias("any"), F.min(F.when(F.col("far"), F.col("w"))).alias("away")).where("away is not null")
     need = F.ceil((F.col("w") + F.when(F.col("far"), F.col("any")).otherwise(F.col("away"))) / (2 * (100 + percent)))
-    told = told.join(best, "g").withColumn("need", need).where("need <= d")
-    items = told.select("g", "cls", F.explode("diff").alias("e"))
+    # n - m of its shingles no other candidate has, so no other diff holds them.
+    told = told.join(best, "g").withColumn("need", need).where("need <= d - (n - m)")
+    items = told.select("g", "cls", F.explode("more").alias("e"))
     frequency = items.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = items.join(frequency, ["g", "e"]).groupBy("g", "cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("rest"))
-    return told.drop("diff").join(ranked, ["g", "cls"]).where("need <= size(rest)")
+    ranked = items.join(frequency, ["g", "e"]).groupBy("g", "cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("shared"))
+    rest = F.concat(F.coalesce("shared", F.array().cast("array<bigint>")), F.array_sort("less"))
+    return told.drop("more").join(ranked, ["g", "cls"], "left").withColumn("rest", rest).drop("shared", "less").where("need <= size(rest)")
 
 
 def rarest_lists(ranked: DataFrame) -> DataFrame:
