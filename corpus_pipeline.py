@@ -1,4 +1,10 @@
-"""The training-data pipeline: five stages over documents, each written as Parquet and read again."""
+"""The training-data pipeline: five stages over documents, each written as Parquet and read again.
+
+Null texts count as empty: such documents are too short for the quality rules and go. Rows without an
+id are linked with nothing and stay. Rows that repeat an id are judged each by its own text; of equal texts
+those of one id stay. An empty table passes through all stages. Extra columns are carried along up to
+the last stage, which gives doc_id and ids alone.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidspark.llm import decontaminate, near_dedup, pieces, pii, quality
-from evidspark.runtime import shared_dir
+from evidspark.runtime import delete, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +59,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,9 +23,9 @@ NUMBER = r"(?U)(?<![\p{L}\p{N}])(?<![.,])[0-9]+(?:[.,][0-9]+)*"
 
 @lru_cache(1)
 def _accents() -> tuple[str, str]:
-    """Letters of the Latin blocks that decompose, and their base letters."""
+    """Letters of the basic plane that decompose to one base letter, and that letter."""
     source, base = [], []
-    for c in map(chr, range(0xC0, 0x250)):
+    for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0x10000)]):
         plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
         if plain != c and len(plain) == 1:
             source.append(c)

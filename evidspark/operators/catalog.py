@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACETS = ("author", "client", "locality", "municipality", "report_type", "organization")
@@ -52,10 +52,32 @@ def document(documents: DataFrame, document_id) -> DataFrame:
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """The survivors of a top-k with chunk and document columns; expensive columns are made only for them.
 
-    hits are at most a few hundred rows, which is what may be broadcast.
+    The planner broadcasts hits while they are small, as a top-k is, and joins by sorting beyond.
     """
-    wide = F.broadcast(hits).join(chunks.drop("document_id", "chunk_index") if {"document_id", "chunk_index"} <= set(hits.columns) else chunks, "chunk_id")
-    return F.broadcast(wide).join(documents, "document_id")
+    wide = hits.join(chunks.drop("document_id", "chunk_index") if {"document_id", "chunk_index"} <= set(hits.columns) else chunks, "chunk_id")
+    return wide.join(documents, "document_id")
+
+
+def json_field(column: str, path: str, kind: str = "string") -> Column:
+    """A field of a JSON text by its dotted path, null where it is missing or of another kind."""
+    return F.get_json_object(column, f"$.{path}").try_cast(kind)
+
+
+def joined_values(rows: DataFrame, keys: list[str], column: str, name: str, separator: str = " | ") -> DataFrame:
+    """keys and name: the distinct values of a column, in order, as one text. Repeats go before values are gathered."""
+    distinct = rows.select(*keys, column).distinct()
+    return distinct.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(column)), separator).alias(name))
+
+
+def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by the order columns, by a partial maximum and no window."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last")).select(*keys, *[F.col("_last").getField(c).alias(c) for c in (*order, *rest)]).select(rows.columns)
+
+
+def counts_where(**conditions: Column) -> list[Column]:
+    """One aggregate for each name: the rows where its condition holds."""
+    return [F.count_if(condition).alias(name) for name, condition in conditions.items()]
 
 
 def headline(text, words: list[str], fragments: int = 3, most: int = 35):

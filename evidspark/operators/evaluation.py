@@ -47,10 +47,9 @@ def gate_summary(questions: DataFrame, graded: DataFrame, matches: DataFrame, le
     return per.agg(F.count_if(yes).alias("answerable"), F.count_if(yes & relevant).alias("relevant_passed"), F.count_if(yes & (passed > 0)).alias("any_passed"), F.count_if(~yes).alias("negatives"), F.count_if(~yes & (passed == 0)).alias("negatives_closed"))
 
 
-def upper_median(value: Column) -> Column:
-    """sorted[n // 2]."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """sorted[n // 2] of a column, as an aggregate of counts by value that combines before the shuffle."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def answer_summary(answers: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def answer_summary(answers: DataFrame) -> DataFrame:
         F.sum("statements").alias("statements"),
         F.sum("verified").alias("verified"),
         F.count_if(F.col("negative") & status.isin("no_evidence", "insufficient")).alias("refused"),
-        upper_median(F.col("server_ms")).alias("median_ms"),
+        upper_median("server_ms").alias("median_ms"),
     )
 
 

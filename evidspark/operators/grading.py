@@ -52,9 +52,10 @@ def align(hits: DataFrame, grades: DataFrame) -> DataFrame:
     return hits.join(kept, "chunk_id", "left").withColumns({"rerank_grade": F.coalesce("rerank_grade", F.lit(0)), "rerank_reason": F.coalesce("rerank_reason", F.lit(""))})
 
 
-def order_by_grade(hits: DataFrame) -> DataFrame:
-    """hits with their place by falling grade (null counts as 0), then candidate rank."""
-    return hits.withColumn("rerank_rank", F.row_number().over(Window.orderBy(F.coalesce("rerank_grade", F.lit(0)).desc(), "candidate_rank")))
+def order_by_grade(hits: DataFrame, keys: tuple[str, ...] = (), ties: str = "candidate_rank") -> DataFrame:
+    """hits with their place by falling grade (null counts as 0), then candidate rank; keys tell candidate lists apart."""
+    order = Window.partitionBy(*keys).orderBy(F.coalesce("rerank_grade", F.lit(0)).desc(), ties)
+    return hits.withColumn("rerank_rank", F.row_number().over(order))
 
 
 def passes_gate(grade: Column, least: int = MIN_GRADE) -> Column:
@@ -88,6 +89,6 @@ def cache_key(question: str, model: str | None, text: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(" ".join(question.lower().split())), F.lit(model or ""), text), 256), 1, 32)
 
 
-def add_usage(calls: DataFrame, keys: tuple[str, ...] = ("prompt_tokens", "output_tokens", "total_tokens")) -> DataFrame:
-    """Token use over calls; missing counts as 0."""
-    return calls.agg(*[F.sum(F.coalesce(k, F.lit(0))).alias(k) for k in keys])
+def add_usage(calls: DataFrame, keys: tuple[str, ...] = ("prompt_tokens", "output_tokens", "total_tokens"), by: tuple[str, ...] = ()) -> DataFrame:
+    """Token use over calls, or over those of each group; missing counts as 0."""
+    return calls.groupBy(*by).agg(*[F.sum(F.coalesce(k, F.lit(0))).alias(k) for k in keys])

@@ -54,8 +54,8 @@ def align_grades(spark, sf_dir):
 
 @query(f"WITH {_GRADED} SELECT source, chunk_id, rerank_grade, row_number() OVER (PARTITION BY source ORDER BY rerank_grade DESC, chunk_id) AS place FROM graded")
 def rerank_order(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy(F.desc("rerank_grade"), "chunk_id")
-    return _graded(spark, sf_dir).select("source", "chunk_id", "rerank_grade", F.row_number().over(order).alias("place"))
+    placed = grading.order_by_grade(_graded(spark, sf_dir), ("source",), "chunk_id")
+    return placed.select("source", "chunk_id", "rerank_grade", F.col("rerank_rank").alias("place"))
 
 
 @query(f"WITH {_GRADED} SELECT chunk_id, rerank_grade FROM graded WHERE rerank_grade IS NULL OR rerank_grade >= 2")
@@ -72,7 +72,7 @@ def grading_batches(spark, sf_dir):
 @query("SELECT event_type, sum(coalesce(CASE WHEN event_id % 3 > 0 THEN event_id END, 0))::bigint AS total_tokens FROM events GROUP BY 1")
 def usage_sum(spark, sf_dir):
     tokens = F.when(F.col("event_id") % 3 > 0, F.col("event_id"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.coalesce(tokens, F.lit(0))).alias("total_tokens"))
+    return grading.add_usage(table(spark, sf_dir, "events").withColumn("total_tokens", tokens), ("total_tokens",), ("event_type",))
 
 
 @query()
@@ -246,11 +246,7 @@ def gate_summary(spark, sf_dir):
 
 @query("SELECT event_type, list_sort(list(value))[count(*)::int // 2 + 1] AS median FROM events GROUP BY 1")
 def upper_median(spark, sf_dir):
-    # As a position in a sorted window, so no group is gathered into one array.
-    order = Window.partitionBy("event_type").orderBy("value")
-    rows = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(order).alias("place"))
-    sizes = rows.groupBy("event_type").agg((F.floor(F.count("*") / 2) + 1).alias("place"))
-    return rows.join(sizes, ["event_type", "place"]).select("event_type", F.col("value").alias("median"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluation.upper_median("value").alias("median"))
 
 
 @query("SELECT event_type, round(quantile_cont(gap, 0.5), 6) AS median_gap FROM (SELECT event_type, lead(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - event_id AS gap FROM events) WHERE gap IS NOT NULL GROUP BY 1")

@@ -184,8 +184,8 @@ def filter_ilike_any(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate <= DATE '1995-03-31'")
 def filter_date_bounds(spark, sf_dir):
-    a, b = date_bound("1995", False), date_bound("1995-03", True)
-    return table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit(a)) & (F.col("o_orderdate") <= F.lit(b))).select("o_orderkey", "o_orderdate", "o_totalprice")
+    spring = Filters(date_from=date_bound("1995", False), date_to=date_bound("1995-03", True))
+    return table(spark, sf_dir, "orders").where(spring.predicate({"report_date": F.col("o_orderdate")})).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
 @query(f"WITH {SQL_DOCUMENTS} SELECT document_id, title, report_date FROM meta WHERE document_id IN (3, 5, 8, 13, 9999999)")
@@ -208,10 +208,9 @@ def parsed_query(spark, sf_dir):
     return spark.createDataFrame([(rest, f.organization, f.date_from, f.date_to, f.content_kind)], "rest string, organization string, date_from date, date_to date, content_kind string")
 
 
-@query(f"WITH {SQL_DOCUMENTS}, {SQL_CHUNKS} SELECT m.document_id, title, report_date, count(chunk_id) AS chunks, count(embedding) AS embedded FROM meta m LEFT JOIN chunks c ON c.document_id = m.document_id AND c.chunk_id % 3 > 0 GROUP BY 1, 2, 3")
+@query(f"WITH {SQL_DOCUMENTS}, {SQL_CHUNKS} SELECT m.document_id, title, report_date, count(chunk_id) AS chunks, count(embedding) AS embedded FROM meta m LEFT JOIN chunks c ON c.document_id = m.document_id GROUP BY 1, 2, 3")
 def list_documents_counts(spark, sf_dir):
-    rows = chunks(spark, sf_dir, vectors=True).where("chunk_id % 3 > 0")
-    return catalog.list_documents(documents(spark, sf_dir).select("document_id", "title", "report_date"), rows)
+    return catalog.list_documents(documents(spark, sf_dir).select("document_id", "title", "report_date"), chunks(spark, sf_dir, vectors=True))
 
 
 @query(f"WITH {SQL_DOCUMENTS}, f AS (UNPIVOT (SELECT author, client, locality, municipality, report_type, organization FROM meta) ON COLUMNS(*) INTO NAME field VALUE value) SELECT field, value, count(*) AS n FROM f WHERE value <> '' GROUP BY 1, 2")
@@ -247,26 +246,24 @@ def document_window(spark, sf_dir):
     return catalog.window_around(line_chunks(spark, sf_dir), 7, 2, 1, 2).select("document_id", "chunk_index", "chunk_raw", "is_hit")
 
 
-@query("SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k FROM events")
 def document_detail_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", catalog.json_field("props", "k", "int").alias("k"))
 
 
 @query("SELECT lang, string_agg(source, ' | ' ORDER BY source) AS sources FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1")
 def string_agg_terms(spark, sf_dir):
-    table(spark, sf_dir, "documents").select("lang", "source").distinct().createOrReplaceTempView("lang_sources")
-    return spark.sql("SELECT lang, string_agg(source, ' | ') WITHIN GROUP (ORDER BY source) AS sources FROM lang_sources GROUP BY lang")
+    return catalog.joined_values(table(spark, sf_dir, "documents"), ["lang"], "source", "sources")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def distinct_on_latest(spark, sf_dir):
-    last = F.max(F.struct("ts", "event_id", "event_type"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(last.alias("x")).select("user_id", "x.event_id", "x.event_type")
+    return catalog.latest_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_type, count(*) FILTER (value > 10) AS large, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def conditional_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 10).alias("large"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*catalog.counts_where(large=F.col("value") > 10, n=F.lit(True)), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("SELECT event_id, sum(1) OVER () AS n FROM (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 25)")

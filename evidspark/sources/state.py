@@ -46,10 +46,18 @@ class VersionedTable:
         out = fs.create(path(f"{self.path}/CURRENT.next"), True)
         out.write(bytearray(name.encode()))
         out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        fs.rename(path(f"{self.path}/CURRENT.next"), path(f"{self.path}/CURRENT"))
+        self._swap(path(f"{self.path}/CURRENT.next"), path(f"{self.path}/CURRENT"))
         return name
 
+    def _swap(self, new, old) -> None:
+        """Rename over the old file in one step, so that a reader sees the one or the other."""
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(new, old, how)
+
 
 def bootstrap(spark: SparkSession, root: str) -> dict[str, VersionedTable]:
     """The documents and chunks tables; may be called again."""

@@ -23,12 +23,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 h
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def ingest(stream: DataFrame, table, checkpoint: str, key: str = "source_file"):
-    """Upsert every micro-batch into a VersionedTable; a batch that is replayed changes nothing."""
+def ingest(stream: DataFrame, table, checkpoint: str, key: str = "source_file", order: tuple[str, ...] = ()):
+    """Upsert every micro-batch into a VersionedTable; a batch that is replayed changes nothing.
+
+    Of several rows of a key the last by the order columns stays, or the greatest of all columns. One writer at a time.
+    """
+    from evidspark.operators.catalog import latest_by
     from evidspark.sources.state import upsert
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.dropDuplicates([key])
+        latest = latest_by(batch, [key], list(order))
         table.write(upsert(table.read(), latest, key))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

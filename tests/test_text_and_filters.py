@@ -4,6 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from evidspark.functions.text import fold as tx_fold
 from evidspark.functions import text as tx
 from evidspark.operators.filters import Filters, build, date_bound, parse_query
 from evidspark.operators.index import Item, match, parse_websearch, query_words
@@ -15,6 +16,11 @@ def one(spark, column, **values):
     return frame.select(column.alias("x")).first()["x"]
 
 
+def test_fold_beyond_latin(spark):
+    row = spark.createDataFrame([("Việt Й ώ Ångström ﬁ",)], "t string").select(tx_fold(F.col("t")).alias("f")).first()
+    assert row.f == "viet и ω angstrom ﬁ"
+
+
 def test_normalize(spark):
     cases = ["  A​b – C x ", "étude", "", None, "10− 20­"]
     for c in cases:
