@@ -68,12 +68,12 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """row, doc_id, owner, repo, found: all spans of a row by start, then kind."""
+    """row, doc_id, owner, repo, found: all spans of a row by start, then kind. Without a column owner_col all rows have one owner."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None), F.lit("")).alias("owner"),
         F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit("")).alias("repo"),
         text.alias("text"),
     )
