@@ -1,8 +1,8 @@
 """Licence scan: a trained paragraph classifier, in DataFrame and ML pipeline functions only.
 
 Texts are cut into paragraphs (lines, and sentences within them). A paragraph without
-any cue word of the training phrases has no feature in common with a licence notice
-and is unknown without further work. The others become sparse counts of hashed word
+any cue word (the fixed expression CUES) is unknown without further work; this is a filter before
+the classifier, and what has no cue is never asked. The others become sparse counts of hashed word
 uni- and bigrams for a multinomial logistic regression over licence families and an
 unknown class; predictions below a probability that is calibrated on the training
 phrases' held-out wordings count as unknown. A prediction is confirmed by comparison
@@ -23,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidspark.runtime import materialize
+
 FEATURES = 1 << 12
 UNKNOWN = "unknown"
 #: Share of a paragraph's word pairs that its family's template must hold.
@@ -150,7 +152,8 @@ def classify(parts: DataFrame, spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_candidates, n_confirmed, n_unknown, families (sorted, comma-joined) and best_score for every row."""
     spark = docs.sparkSession
-    found = paragraphs(docs, id_col, text_col)
+    # Written once: a row number that is made in two scans need not be the same in both.
+    found = materialize(paragraphs(docs, id_col, text_col), "paragraphs")
     judged = classify(found.select("row", F.explode("found").alias("text")), spark)
     sure = F.col("confirmed")
     per_row = judged.groupBy("row").agg(

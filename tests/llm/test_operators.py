@@ -198,6 +198,18 @@ def test_secrets(spark):
     assert live[0][0] == 0 and live[0][2] == 4 and live[9][1] == 0 and live[9][0] == 1
 
 
+def test_secrets_without_owner_and_repeats(spark):
+    df = spark.createDataFrame([(i, t) for i, t in SECRETS] * 2, "doc_id bigint, text string")
+    out = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan(df).collect())
+    assert out == sorted((i, *brute.secrets(t)) for i, t in SECRETS * 2)
+
+
+def test_licenses_of_repeated_shuffled_rows(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Nothing here."), (None, None), (2, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0.")]
+    out = licenses.scan(frame(spark, rows * 20, 7).repartition(5, "text")).collect()
+    assert sorted((str(r.doc_id), r.families) for r in out) == sorted([("1", "mit"), ("1", "mit"), ("1", ""), ("None", ""), ("2", "apache")] * 20)
+
+
 def test_sharding(spark, docs):
     df = frame(spark, docs).select("doc_id", "text")
     out = sharding.shuffle_into_shards(df, 7).collect()
