@@ -1,15 +1,17 @@
 """Licence scan: a trained paragraph classifier, in DataFrame and ML pipeline functions only.
 
-Texts are cut into paragraphs (lines, and sentences within them). A paragraph without
-any cue word (the fixed expression CUES) is unknown without further work; this is a filter before
-the classifier, and what has no cue is never asked. The others become sparse counts of hashed word
-uni- and bigrams for a multinomial logistic regression over licence families and an
-unknown class; predictions below a probability that is calibrated on the training
-phrases' held-out wordings count as unknown. A prediction is confirmed by comparison
-with the family's template: most of the paragraph's word pairs must occur there.
+Texts are cut into paragraphs (lines, and sentences within them). Every paragraph with a word
+becomes sparse counts of hashed word uni- and bigrams for a multinomial logistic regression over
+licence families and an unknown class; no paragraph is kept from it. Predictions below a
+probability that is calibrated on the training phrases' held-out wordings count as unknown. A
+prediction is confirmed by comparison with the family's template: most of the paragraph's word
+pairs must occur there.
 
-The training phrases are rules (sentence frames times names) and a few well-known
-notice sentences, so the training set is fixed and small.
+The training phrases are rules (sentence frames times names, and the frames' words alone, which
+name no licence, so a bare "MIT" or "mit" is unknown) and a few well-known notice sentences, so
+the training set is fixed and small.
+
+Paragraphs are judged where their row was read and only one partial result a row is shuffled.
 
 A null or empty text has no paragraphs and gets zero counts. Repeated rows are scanned
 each on its own. Only the named columns are read.
@@ -23,8 +25,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidspark.runtime import materialize
-
 FEATURES = 1 << 12
 UNKNOWN = "unknown"
 #: Share of a paragraph's word pairs that its family's template must hold.
@@ -76,7 +76,6 @@ OTHER = [
     "The fishing license for the {} expires in May.",
 ]
 THINGS = ["car", "museum", "report", "lake", "committee", "school", "product", "engine", "garden"]
-CUES = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|spdx|public domain|all rights reserved|creative commons|\bcc[ -]?by|\bcc0|apache|mozilla|\bgpl|gnu |\blgpl|\bagpl|\bmpl|\bbsd|\bmit\b|\bisc\b|unencumbered|unauthorized copying"
 
 _models: dict[str, tuple[LogisticRegressionModel, float]] = {}
 
@@ -94,6 +93,7 @@ def training_phrases() -> list[tuple[str, str, int]]:
         rows += [(family, frame.format(name)) for name in names for frame in FRAMES]
         rows += [(family, text) for text in NOTICES.get(family, []) for _ in range(4)]
     rows += [(UNKNOWN, frame.format(thing)) for frame in OTHER for thing in THINGS]
+    rows += [(UNKNOWN, word) for word in sorted({w for frame in [*FRAMES, *OTHER] for w in frame.replace("{}", "").split()})]
     return [(family, text, i % 7) for i, (family, text) in enumerate(rows)]
 
 
@@ -116,6 +116,8 @@ def train(spark: SparkSession) -> tuple[LogisticRegressionModel, float]:
         scored = model.transform(rows.where("fold = 0")).select((F.col("prediction") == F.col("label")).alias("right"), F.array_max(vector_to_array("probability")).alias("p"), (F.col("label") != place[UNKNOWN]).alias("licence"))
         wrong = scored.where("not right").agg(F.max("p")).first()[0]  # one number
         low = scored.where("right and licence").agg(F.expr("percentile(p, 0.01)")).first()[0]  # one number
+        # Only the probabilities are used; the other columns would be computed for every paragraph.
+        model = model.setRawPredictionCol("").setPredictionCol("")
         _models.clear()
         _models[key] = (model, float(min(max(low or 0.0, min(wrong or 0.0, 0.5)), 0.6)))
     return _models[key]
@@ -131,37 +133,36 @@ def _templates() -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, n_paragraphs, found: the paragraphs with a cue."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cut = F.filter(F.split("text", r"\n|(?<=[.;!?])[ \t]+"), lambda p: p.rlike(CUES))
-    return rows.select("row", "doc_id", F.when(F.col("text").rlike(CUES), cut).otherwise(F.array().cast("array<string>")).alias("found"))
+    """row, doc_id, text: the paragraphs with a word; one row with a null text for a document without any."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cut = F.filter(F.split("text", r"\n|(?<=[.;!?])[ \t]+"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    return rows.select("row", "doc_id", F.explode_outer(cut).alias("text"))
 
 
 def classify(parts: DataFrame, spark: SparkSession) -> DataFrame:
-    """parts with a column text, plus family (or unknown), probability and confirmed."""
+    """parts with a column text, plus k (place of the family in labels()), family (or unknown), probability and confirmed."""
     model, least = train(spark)
     names = F.array(*[F.lit(x) for x in labels()])
-    scored = model.transform(_hashed(parts.withColumn("grams", grams_of(F.col("text"))))).withColumn("probability", F.array_max(vector_to_array("probability")))
-    family = F.when(F.col("probability") >= least, F.get(names, F.col("prediction").cast("int"))).otherwise(F.lit(UNKNOWN))
-    scored = scored.withColumn("family", family)
+    scored = _hashed(parts.withColumn("grams", F.coalesce(grams_of(F.col("text")), F.array().cast("array<string>"))))
+    scored = model.transform(scored).withColumn("p", vector_to_array("probability")).withColumn("probability", F.array_max("p"))
+    k = F.when(F.col("probability") >= least, (F.array_position("p", F.col("probability")) - 1).cast("int")).otherwise(F.lit(labels().index(UNKNOWN)))
+    scored = scored.withColumn("k", k).withColumn("family", F.get(names, F.col("k")))
     mine = F.array_distinct("grams")
-    known = F.size(F.array_intersect(mine, F.coalesce(_templates()[F.col("family")], F.array().cast("array<string>"))))
-    return scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (known >= F.size(mine) * CONFIRM)).drop("rawPrediction", "prediction", "features", "grams")
+    known = F.size(F.array_intersect(mine, _templates()[F.col("family")]))
+    # A paragraph without words has no pair that a template could hold.
+    sure = F.when((F.col("family") != UNKNOWN) & (F.size("grams") > 0), known >= F.size(mine) * CONFIRM).otherwise(F.lit(False))
+    return scored.withColumn("confirmed", sure).drop("p", "features", "grams")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_candidates, n_confirmed, n_unknown, families (sorted, comma-joined) and best_score for every row."""
-    spark = docs.sparkSession
-    # Written once: a row number that is made in two scans need not be the same in both.
-    found = materialize(paragraphs(docs, id_col, text_col), "paragraphs")
-    judged = classify(found.select("row", F.explode("found").alias("text")), spark)
+    """doc_id, n_candidates (paragraphs with a word), n_confirmed, n_unknown, families (sorted, comma-joined) and best_score for every row."""
+    judged = classify(paragraphs(docs, id_col, text_col), docs.sparkSession)
     sure = F.col("confirmed")
-    per_row = judged.groupBy("row").agg(
-        F.count("*").alias("n"),
+    per_row = judged.groupBy("row", "doc_id").agg(
+        F.count("text").alias("n"),
         F.count_if(sure).alias("c"),
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("f"),
+        F.bit_or(F.when(sure, F.expr("shiftleft(1, k)")).otherwise(F.lit(0))).alias("bits"),
         F.max(F.when(sure, F.round("probability", 6))).alias("best_score"),
     )
-    zero = F.lit(0).cast("bigint")
-    n, c = F.coalesce("n", zero), F.coalesce("c", zero)
-    return found.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", n.alias("n_candidates"), c.alias("n_confirmed"), (n - c).alias("n_unknown"), F.coalesce("f", F.lit("")).alias("families"), "best_score")
+    families = F.concat_ws(",", *[F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.lit(x)) for k, x in enumerate(labels())])
+    return per_row.select("doc_id", F.col("n").alias("n_candidates"), F.col("c").alias("n_confirmed"), (F.col("n") - F.col("c")).alias("n_unknown"), families.alias("families"), "best_score")

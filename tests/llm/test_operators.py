@@ -249,6 +249,12 @@ def test_licenses(spark):
     assert [out[i][0] for i in range(8)] == ["", "", "mit", "apache", "gpl", "cc-by-nc", "", ""]
 
 
+def test_licenses_ask_every_paragraph(spark):
+    texts = [(0, "Words without any cue. More of them!\n\n---\nLicense: MIT"), (1, "MIT"), (2, "mit\nthe\nMit."), (3, "---\n ?"), (4, "Released under the BSD 3-Clause License. " * 3000)]
+    out = got(licenses.scan(frame(spark, texts)), "n_candidates", "n_confirmed", "n_unknown", "families")
+    assert out == {0: (3, 1, 2, "mit"), 1: (1, 0, 1, ""), 2: (3, 0, 3, ""), 3: (0, 0, 0, ""), 4: (3000, 3000, 0, "bsd")}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
