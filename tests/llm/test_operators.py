@@ -219,8 +219,48 @@ def test_sharding(spark, docs):
     assert sorted(r.doc_id for r in out) == sorted(i for i, _ in docs)
     assert all(sorted(v) == list(range(len(v))) for v in sizes.values()) and max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
     assert sharding.shuffle_into_shards(df.limit(0), 7).count() == 0
-    a, b = sharding.cell_sizes(100_003, 40)[0], sharding.cell_sizes(0, 40)[0]
-    assert a.sum() == 100_003 and b.sum() == 0
+    for total in (0, 3, 100_003):
+        cells = sharding.Cells(total, 40)
+        assert cells.sizes(0, cells.count, 1).sum() == total and cells.sizes(0, cells.count, 1).max(initial=0) <= sharding.BLOCK
+
+
+def test_sharding_many_rounds(spark):
+    """Small blocks and fan-out: several rounds, and trees of parts of several levels."""
+    rows = [(None if i % 7 == 0 else i % 20, "x" * (i % 3) or None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, place long").repartition(5)
+    out = sharding.shuffle_into_shards(df, 3, block=9, fan=3)
+    assert out.columns == ["doc_id", "text", "place", "shard", "slot"]
+    out = out.collect()
+    assert sorted(r.place for r in out) == list(range(500)) and all((r.doc_id, r.text) == rows[r.place][:2] for r in out)
+    slots = {s: sorted(r.slot for r in out if r.shard == s) for s in range(3)}
+    assert sorted(map(len, slots.values())) == [166, 167, 167] and all(v == list(range(len(v))) for v in slots.values())
+    again = spark.createDataFrame(rows, "doc_id bigint, text string, shard long")
+    assert sharding.shuffle_into_shards(again, 3).columns == ["doc_id", "text", "shard", "slot"]
+
+
+def test_sharding_query(spark, data):
+    import zlib
+
+    from evidspark.llm.queries import op5_sharding
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    out = op5_sharding(spark, data).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in out} == {i: (len(t) + 16, zlib.crc32(t), "rows", None) for i, t in texts.items()}
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(40) for k in range(len(texts) // 40 + (s < len(texts) % 40))]
+
+
+def test_large_draws():
+    """The draw for large populations has the law of the generator's own."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((300, 700, 50), (3, 5, 6), (0, 10, 4), (10, 0, 4)):
+        mine = [sharding.hypergeometric(rng, good, bad, n, large=0) for _ in range(4000)]
+        own = rng.hypergeometric(good, bad, n, 4000)
+        assert abs(np.mean(mine) - own.mean()) < 0.25 and abs(np.std(mine) - own.std()) < 0.25
+    parts, cells = np.array([3 * 10**9, 10**9, 5]), np.array([10**9, 3 * 10**9 + 5])
+    m = sharding.communication_matrix(parts, cells, 3)
+    assert (m.sum(1) == parts).all() and (m.sum(0) == cells).all() and abs(m[0, 0] - 75 * 10**7) < 10**6
 
 
 def test_matrix_margins():
