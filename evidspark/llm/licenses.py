@@ -82,7 +82,8 @@ _models: dict[str, tuple[LogisticRegressionModel, float]] = {}
 
 def grams_of(text: Column) -> Column:
     """Lower-case words and word pairs."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    # a-z and 0-9 are letters and numbers as well; named first, they need no look at the tables of Unicode.
+    words = F.array_remove(F.split(F.lower(text), r"[^a-z0-9\p{L}\p{N}]+"), "")
     return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))))
 
 
@@ -123,19 +124,17 @@ def train(spark: SparkSession) -> tuple[LogisticRegressionModel, float]:
     return _models[key]
 
 
-def _templates() -> Column:
-    """Map from family to the word pairs and words of all its phrases."""
-    pairs = []
-    for family in NAMES:
-        text = "\n".join(t for f, t, _ in training_phrases() if f == family)
-        pairs += [F.lit(family), F.array_distinct(F.flatten(F.transform(F.split(F.lit(text), "\n"), grams_of)))]
-    return F.create_map(*pairs)
+def _templates(spark: SparkSession) -> Column:
+    """Map from family to the word pairs and words of all its phrases, a constant of the plan."""
+    phrases = spark.createDataFrame([(f, t) for f, t, _ in training_phrases() if f != UNKNOWN], "family string, text string")
+    grams = phrases.select("family", F.explode(grams_of(F.col("text"))).alias("gram")).groupBy("family").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
+    return F.create_map(*[x for r in grams.collect() for x in (F.lit(r["family"]), F.lit(r["grams"]))])  # as many as the fixed phrases have
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, text: the paragraphs with a word; one row with a null text for a document without any."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = F.filter(F.split("text", r"\n|(?<=[.;!?])[ \t]+"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    cut = F.filter(F.split("text", r"\n|(?=[ \t])(?<=[.;!?])[ \t]+"), lambda p: p.rlike(r"[a-z0-9\p{L}\p{N}]"))
     return rows.select("row", "doc_id", F.explode_outer(cut).alias("text"))
 
 
@@ -148,7 +147,7 @@ def classify(parts: DataFrame, spark: SparkSession) -> DataFrame:
     k = F.when(F.col("probability") >= least, (F.array_position("p", F.col("probability")) - 1).cast("int")).otherwise(F.lit(labels().index(UNKNOWN)))
     scored = scored.withColumn("k", k).withColumn("family", F.get(names, F.col("k")))
     mine = F.array_distinct("grams")
-    known = F.size(F.array_intersect(mine, _templates()[F.col("family")]))
+    known = F.size(F.array_intersect(mine, _templates(spark)[F.col("family")]))
     # A paragraph without words has no pair that a template could hold.
     sure = F.when((F.col("family") != UNKNOWN) & (F.size("grams") > 0), known >= F.size(mine) * CONFIRM).otherwise(F.lit(False))
     return scored.withColumn("confirmed", sure).drop("p", "features", "grams")
