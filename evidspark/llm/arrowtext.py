@@ -9,7 +9,8 @@ from fixed seeds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _MUL2 = np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; a longer text has its own for as long as it is read.
+MOST_POWERS = 1 << 21
 
 
 def table(separators: bytes, lower: bool) -> np.ndarray:
@@ -63,7 +66,8 @@ def _power(base: int, n: int) -> np.ndarray:
             more = min(done, size - done)
             have[done : done + more] = have[:more] * np.uint64(step)
             done, step = done + more, step * step % 2**64
-        _powers[base] = have
+        if size <= MOST_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
@@ -156,3 +160,25 @@ def documents(column: pa.Array, byte_table: np.ndarray, most: int = 1 << 21) ->
     raw, offsets = buffers(column)
     for i, j in slices(offsets, most):
         yield i, j, Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], byte_table)
+
+
+def give_back() -> None:
+    """Return memory that is free but still held by this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(work: Work) -> Work:
+    """work, after which its worker, kept for other tasks and stages, doesn't hold on to what it no longer needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run

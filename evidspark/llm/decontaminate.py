@@ -38,7 +38,7 @@ from evidspark.runtime import materialize, ship
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: Most bytes of text in one suffix array, unless a single document has more.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _sorted_ids(ids: set) -> list:
@@ -231,7 +231,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = None
     for ids, texts in (first, *([second, *blocks] if second is not None else [])):
         sent = spark.sparkContext.broadcast(Benchmark(ids, texts, window))  # at most block_bytes of text
-        part = docs.mapInArrow(_scan(lambda sent=sent: sent.value), schema)
+        part = docs.mapInArrow(at.lean(_scan(lambda sent=sent: sent.value)), schema)
         found = part if found is None else found.unionByName(part)
     if second is not None:
         found = found.groupBy("row", "id", "n_words").agg(
@@ -266,7 +266,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                 dirty = np.concatenate([[bool(x) for x in items] for _, _, _, items, _ in hits(pc.cast(batch.column(text_col), pa.string()), sent.value)] or [[]]).astype(bool)
                 yield batch.filter(pa.array(~dirty))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(at.lean(clean), schema)
     return docs
 
 

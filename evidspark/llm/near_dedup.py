@@ -51,11 +51,13 @@ from evidspark.runtime import forget, materialize, ship, tidy
 
 #: Sketch size, and the common values that any pair of 0.8 has but for a chance below 1e-9.
 K, COMMON = 24, 6
+#: Bytes of text that are cut into words at a time, unless a single document has more.
+SLICE_BYTES = 1 << 18
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Per slice of documents: the first one, and each one's sorted distinct shingle hashes (63 bits)."""
-    for i, j, words in at.documents(column, at.WORDS_LOWER):
+    for i, j, words in at.documents(column, at.WORDS_LOWER, SLICE_BYTES):
         h = words.hashes()
         g = (at.grams(h, size) >> np.uint64(1)).astype(np.int64)
         out = []
@@ -92,7 +94,7 @@ def sketch(docs: DataFrame, size: int = 4, k: int = K) -> DataFrame:
                 own = [batch.column(c).slice(i, len(sets)) for c in ("id", "mark")]
                 yield pa.RecordBatch.from_arrays([*own, n, pa.array([_class_of(s) for s in sets], pa.binary()), _lists([s[:k] for s in sets])], names=["id", "mark", "n", "cls", "sketch"])
 
-    return docs.select("id", "mark", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, mark bigint, n bigint, cls binary, sketch array<bigint>")
+    return docs.select("id", "mark", "text").mapInArrow(at.lean(work), f"id {docs.schema['id'].dataType.simpleString()}, mark bigint, n bigint, cls binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -103,7 +105,7 @@ def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
             for _, sets in shingle_sets(batch.column("text"), size):
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.binary()), _lists(sets)], names=["cls", "members"])
 
-    return docs.select("text").mapInArrow(work, "cls binary, members array<bigint>")
+    return docs.select("text").mapInArrow(at.lean(work), "cls binary, members array<bigint>")
 
 
 def _rarest(items: DataFrame, owner: list[str], within: list[str], length: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidspark.llm.arrowtext import lean
 from evidspark.runtime import ship
 
 #: Where the public vocabulary lies; a parameter of every entry point.
@@ -304,7 +305,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ids = [None if t is None else np.array(c.encode(t), np.int32) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 256), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>")
+    return docs.mapInArrow(lean(work), f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidspark.llm.arrowtext import lean
 from evidspark.runtime import ship
 
 BASE = ("email", "ip", "card", "phone")
@@ -34,6 +35,9 @@ KINDS = (*BASE, "iban", "account", "url")
 CUES = ("account no", "account number", "acct", "kontonummer", "ssn", "social security")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 
+#: Documents that are redacted at a time.
+SLICE_ROWS = 256
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -202,11 +206,12 @@ def redact_documents(docs: DataFrame, text_col: str = "text", count_col: str | N
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t and redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                texts = [t and redact(t, find_spans(t)) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    out = docs.mapInArrow(work, docs.schema)
+    out = docs.mapInArrow(lean(work), docs.schema)
     if count_col in docs.columns:
         out = out.withColumn(count_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[count_col].dataType)))
     return out

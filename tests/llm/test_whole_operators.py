@@ -1,10 +1,15 @@
 """Cases of the training-data operators that an earlier round did not cover."""
 
+import random
+import tracemalloc
+
 import brute
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evidspark.llm import decontaminate, licenses, near_dedup, pii
+from evidspark.llm import arrowtext, decontaminate, licenses, near_dedup, pii
 from evidspark.llm.oracles import DECONTAMINATE
 
 
@@ -63,3 +68,73 @@ def test_license_pairs_of_long_paragraphs(spark):
     out = {r.id: r for r in grams.select("id", F.size("g").alias("n"), F.array_contains("g", "last pair").alias("last"), F.slice("g", 1, 9).alias("g")).collect()}
     assert out[0].last and out[0].n == 2 * (n + 2) - 1
     assert out[1].g == ["one", "two", "three", "one two", "two three"] and out[2].g == ["one"] and out[3].g == []
+
+
+def peak_mb(slices):
+    """MB that numpy and Python take at most while slices are made one after another, and how many documents there were."""
+    tracemalloc.start()
+    n = sum(size(x) for x, size in slices)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak, n
+
+
+def test_worker_memory_of_a_batch():
+    """A batch of 8 MB is worked on in small slices, with the same results whatever their size."""
+    rng = random.Random(3)
+    column = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(500)) for _ in range(2600)])
+    assert column.nbytes > 7e6
+    arrowtext._powers.clear()
+    peak, n = peak_mb((x, lambda x: len(x[1])) for x in near_dedup.shingle_sets(column, 5))
+    assert n == len(column) and peak < 30
+    arrowtext._powers.clear()
+    bench = decontaminate.Benchmark(["a"], [column[7].as_py()], 10)
+    peak, n = peak_mb((x, lambda x: len(x[1])) for x in decontaminate.hits(column, bench))
+    assert n == len(column) and peak < 100
+
+    few = column.slice(0, 40)
+    whole = [x for _, sets in near_dedup.shingle_sets(few, 5) for x in sets]
+    told = [x[1:] for x in decontaminate.hits(few, bench)]
+    for at_most in (1, 9000):
+        near, shard = near_dedup.SLICE_BYTES, decontaminate.SHARD_BYTES
+        near_dedup.SLICE_BYTES = decontaminate.SHARD_BYTES = at_most
+        try:
+            again = [x for _, sets in near_dedup.shingle_sets(few, 5) for x in sets]
+            cut = [x[1:] for x in decontaminate.hits(few, bench)]
+        finally:
+            near_dedup.SLICE_BYTES, decontaminate.SHARD_BYTES = near, shard
+        assert all(map(np.array_equal, whole, again)) and len(whole) == len(again)
+        assert len(cut) > 1 and [[y for x in cut for y in x[k]] for k in range(4)] == [list(x) for x in told[0]]
+
+
+def test_worker_gives_memory_back():
+    """What a task has freed goes back to the system when it ends; long texts leave no tables behind."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def work(batches):
+        for batch in batches:
+            held = [np.ones(5000) for _ in range(8000)]  # 320 MB in pieces that lie side by side
+            pins.append(np.ones(5000))  # and one behind them that stays
+            del held
+            yield batch
+
+    pins = []
+    before = resident()
+    assert sum(b.num_rows for b in arrowtext.lean(work)(iter([pa.record_batch({"x": [1, 2]})]))) == 2
+    assert resident() < before + 100
+    arrowtext._powers.clear()
+    long = pa.array(["word " * 500_000])
+    assert len(near_dedup.shingle_sets(long, 5).__next__()[1][0]) == 1
+    assert sum(x.nbytes for x in arrowtext._powers.values()) <= 2 * 8 * arrowtext.MOST_POWERS
+
+
+def test_redaction_of_many_rows(spark):
+    """More rows than are redacted at a time, in their order, with nulls."""
+    rows = [(i, None if i % 7 == 0 else f"write to me{i}@x.org, {'ž' * (i % 5)}", 0) for i in range(3 * pii.SLICE_ROWS + 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").coalesce(1)
+    out = [tuple(r) for r in pii.redact_documents(docs, count_col="n_chars").collect()]
+    want = [(i, t and pii.redact(t, pii.find_spans(t))) for i, t, _ in rows]
+    assert out == [(i, t, t and len(t)) for i, t in want]
