@@ -1,18 +1,18 @@
 """Evidence packing: gate, per-document cap, token budget, neighbours, numbering, rendering.
 
-Greedy packing is sequential, but only over the candidates of one question (at most a few
-dozen rows), so it runs grouped by question: many questions in parallel.
+Greedy packing is sequential, but only over the candidates of one question, so these are
+one sorted array: many questions share an Arrow batch, and only documents and costs go to Python.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidspark.functions.text import escaped_json, page_label
 from evidspark.operators.grading import MIN_GRADE
-from evidspark.runtime import ship
+from evidspark.runtime import materialize, ship
 
 MAX_SOURCES, TOKEN_BUDGET, PER_DOCUMENT, MAX_NEIGHBOURS, CHARS_PER_TOKEN = 8, 10_000, 3, 4, 3
 FOUND, CONTEXT = "nalezeno", "kontext"
@@ -28,27 +28,32 @@ def per_document_cap(hits: DataFrame, most: int = PER_DOCUMENT) -> DataFrame:
     return hits.withColumn("document_place", F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy("rank"))).where(F.col("document_place") <= most)
 
 
-def pack(hits: DataFrame, min_grade: int = MIN_GRADE, max_sources: int = MAX_SOURCES, budget: int = TOKEN_BUDGET, per_document: int = PER_DOCUMENT) -> DataFrame:
-    """Chosen hits (question_id, chunk_id, document_id, rank, cost, position) of (question_id, rank, chunk_id, document_id, cost, rerank_grade).
+def pack(hits: DataFrame, min_grade: int = MIN_GRADE, max_sources: int = MAX_SOURCES, budget: int = TOKEN_BUDGET, per_document: int = PER_DOCUMENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chosen hits (question_id, chunk_id, document_id, rank, cost, columns to carry, position) of (question_id, rank, chunk_id, document_id, cost, rerank_grade).
 
     Best first under the cap, then the rest without it; a hit over the budget is skipped, not the end.
     """
     ship(hits.sparkSession)
-    rows = hits.where(F.col("rerank_grade").isNull() | (F.col("rerank_grade") >= min_grade)).select("question_id", "rank", "chunk_id", "document_id", "cost")
+    rows = hits.where(F.col("rerank_grade").isNull() | (F.col("rerank_grade") >= min_grade)).select("question_id", "rank", "chunk_id", "document_id", "cost", *carry)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("question_id").applyInPandas(lambda g: _chosen(g, max_sources, budget, per_document), kinds + ", position int")
+    hit = F.struct("rank", "chunk_id", "document_id", "cost", *carry)
+    lists = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
 
+    @F.pandas_udf("array<int>")
+    def choose(documents: pd.Series, costs: pd.Series) -> pd.Series:
+        return pd.Series([_chosen(d.tolist(), c.tolist(), max_sources, budget, per_document) for d, c in zip(documents, costs, strict=True)], dtype=object)
 
-def _chosen(group: pd.DataFrame, max_sources: int, budget: int, per_document: int) -> pd.DataFrame:
-    group = group.sort_values("rank").reset_index(drop=True)
-    picked = greedy(group, max_sources, budget, per_document)
-    return group.iloc[picked].assign(position=list(range(1, len(picked) + 1)))
+    picked = lists.withColumn("picked", choose(F.col("hits.document_id"), F.col("hits.cost")))
+    placed = picked.select("question_id", F.posexplode(F.transform("picked", lambda i: F.get("hits", i))).alias("place", "h"))
+    return placed.select("question_id", *[F.col(f"h.{c}").alias(c) for c in ("rank", "chunk_id", "document_id", "cost", *carry)], (F.col("place") + 1).alias("position"))
 
 
 def greedy(rows: pd.DataFrame, max_sources: int, budget: int, per_document: int) -> list[int]:
     """Row numbers in the order of choice."""
-    documents, costs = rows["document_id"].tolist(), rows["cost"].tolist()
+    return _chosen(rows["document_id"].tolist(), rows["cost"].tolist(), max_sources, budget, per_document)
+
+
+def _chosen(documents: list, costs: list, max_sources: int, budget: int, per_document: int) -> list[int]:
     picked: list[int] = []
     used, spent = {}, 0
     for cap in (per_document, None):
@@ -64,33 +69,34 @@ def greedy(rows: pd.DataFrame, max_sources: int, budget: int, per_document: int)
 
 
 def neighbours(chosen: DataFrame, chunks: DataFrame, before: int = 1, after: int = 1, same_section: bool = True) -> DataFrame:
-    """Chunks next to chosen ones: same document, index in range, not chosen themselves; each once, by the best chosen place."""
-    near = chunks.select("chunk_id", "document_id", "chunk_index", F.coalesce("section", F.lit("")).alias("section"))
-    own = chosen.select("question_id", "document_id", F.col("chunk_index").alias("at"), F.coalesce("section", F.lit("")).alias("own_section"), "position")
-    both = near.join(own, "document_id").where(F.col("chunk_index").between(F.greatest(F.lit(0), F.col("at") - before), F.col("at") + after) & (F.col("chunk_index") != F.col("at")))
-    both = both.where(F.col("section") == F.col("own_section")) if same_section else both
+    """Chunks next to chosen ones: same document, index in range, not chosen themselves; each once, by the best chosen place.
+
+    Chosen chunks name the places that they want, so chunks meet them by place, once and without their texts.
+    """
+    near = chunks.select("document_id", "chunk_index", "chunk_id", "section", token_cost(F.col("token_count"), F.col("chunk_raw")).alias("cost"))
+    places = F.filter(F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - before), F.col("chunk_index") + after), lambda i: i != F.col("chunk_index"))
+    wanted = chosen.where(F.col("chunk_index") + after >= 0).select("question_id", "document_id", F.coalesce("section", F.lit("")).alias("own_section"), "position", F.explode(places).alias("chunk_index"))
+    both = near.join(wanted, ["document_id", "chunk_index"])
+    both = both.where(F.coalesce("section", F.lit("")) == F.col("own_section")) if same_section else both
     fresh = both.join(chosen.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    return fresh.groupBy("question_id", "document_id", "chunk_id", "chunk_index").agg(F.min("position").alias("position"))
+    return fresh.groupBy("question_id", "document_id", "chunk_id", "chunk_index", "section", "cost").agg(F.min("position").alias("position"))
 
 
 def add_neighbours(chosen: DataFrame, chunks: DataFrame, budget: int = TOKEN_BUDGET, most: int = MAX_NEIGHBOURS) -> DataFrame:
     """chosen plus up to `most` neighbours that fit the budget, role and null grade set; question_id, chunk_id, document_id, chunk_index, section, cost, position, rerank_grade."""
-    ship(chosen.sparkSession)
-    costs = chunks.select("chunk_id", "section", token_cost(F.col("token_count"), F.col("chunk_raw")).alias("cost"))
-    extra = neighbours(chosen, chunks).join(costs, "chunk_id")
+    chosen = materialize(chosen, "chosen")  # a few rows a question, read four times
     columns = ["question_id", "chunk_id", "document_id", "chunk_index", "section", "cost", "position"]
-    both = chosen.select(*columns, "rerank_grade", F.lit(FOUND).alias("role")).unionByName(extra.select(*columns, F.lit(None).cast("int").alias("rerank_grade"), F.lit(CONTEXT).alias("role")))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found, more = group[group["role"] == FOUND], group[group["role"] == CONTEXT].sort_values(["position", "chunk_index"])
-        spent, taken = int(found["cost"].sum()), []
-        for i, c in zip(more.index, more["cost"], strict=True):
-            if len(taken) < most and spent + c <= budget:
-                taken.append(i)
-                spent += c
-        return pd.concat([found, more.loc[taken]])
-
-    return both.groupBy("question_id").applyInPandas(fit, both.schema)
+    spent = chosen.groupBy("question_id").agg(F.sum("cost").alias("spent"))
+    order = F.struct("position", "chunk_index", "chunk_id", "document_id", "section", "cost")
+    near = neighbours(chosen, chunks).groupBy("question_id").agg(F.sort_array(F.collect_list(order)).alias("near"))
+
+    def take(state: Column, x: Column) -> Column:
+        fits = (F.size(state["taken"]) < most) & (state["spent"] + x["cost"] <= budget)
+        return F.when(fits, F.struct((state["spent"] + x["cost"]).alias("spent"), F.concat(state["taken"], F.array(x)).alias("taken"))).otherwise(state)
+
+    none = F.struct(F.col("spent").cast("bigint").alias("spent"), F.filter("near", lambda x: F.lit(False)).alias("taken"))
+    extra = near.join(spent, "question_id").select("question_id", F.explode(F.aggregate("near", none, take)["taken"]).alias("x")).select("question_id", "x.*")
+    return chosen.select(*columns, "rerank_grade", F.lit(FOUND).alias("role")).unionByName(extra.select(*columns, F.lit(None).cast("int").alias("rerank_grade"), F.lit(CONTEXT).alias("role")))
 
 
 def number_sources(sources: DataFrame) -> DataFrame:

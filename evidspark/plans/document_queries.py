@@ -110,8 +110,7 @@ def context_budget_pack(spark, sf_dir):
 
 @query()
 def context_neighbours(spark, sf_dir):
-    rows = _pack_input(spark, sf_dir)
-    chosen = context.pack(rows).join(rows.select("chunk_id", "chunk_index", "section", "rerank_grade"), "chunk_id")
+    chosen = context.pack(_pack_input(spark, sf_dir), carry=("chunk_index", "section", "rerank_grade"))
     every = line_chunks(spark, sf_dir).withColumn("chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")))
     return context.number_sources(context.add_neighbours(chosen, every))
 

@@ -5,7 +5,7 @@ import time
 
 import pyarrow as pa
 
-from evidspark.operators import pages
+from evidspark.operators import context, pages
 
 
 def test_many_pages_with_tables(spark):
@@ -27,3 +27,19 @@ def test_many_pages_with_tables(spark):
         found = want[r["document_id"] % len(cells)]
         assert (r["columns"], r["rows"], r["grids"]) == (len(found[0][0]), sum(len(x) for _, x in found), len(found))
         assert r["header"] == next(([c[2] for c in x[0]] for k, x in found if len(x[0]) == len(k)), None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_share_batches(spark):
+    """No Python call for each question, and chunks meet chosen ones by place, once; repeated sections and ids with gaps."""
+    hits = spark.range(4000).selectExpr("id div 4 AS question_id", "id AS document_id", "concat(id, ':', 5) AS chunk_id", "5 AS chunk_index", "'s' AS section", "CAST(id % 4 AS int) AS rank", "CAST(3000 AS int) AS cost", "2 AS rerank_grade")
+    chunks = spark.range(4000).selectExpr("id AS document_id", "explode(sequence(3, 7)) AS chunk_index").selectExpr("document_id", "chunk_index", "concat(document_id, ':', chunk_index) AS chunk_id", "IF(chunk_index = 6, 't', 's') AS section", "400 AS token_count", "'text' AS chunk_raw")
+    chosen = context.pack(hits, carry=("chunk_index", "section", "rerank_grade"))
+    out = context.add_neighbours(chosen, chunks)
+    assert "FlatMapGroupsInPandas" not in plan_of(chosen) + plan_of(out) and plan_of(out).count("Window") == 0
+    rows = out.collect()
+    assert {(r.question_id, r.document_id, r.chunk_index, r.role) for r in rows} == {(q, 4 * q + k, 5, "nalezeno") for q in range(1000) for k in range(3)} | {(q, 4 * q + k, 4, "kontext") for q in range(1000) for k in range(2)}
+    assert len(rows) == 5000
