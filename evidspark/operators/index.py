@@ -47,6 +47,26 @@ def postings(positions: DataFrame) -> DataFrame:
     return positions.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def chunk_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_raw") -> DataFrame:
+    """postings() of the tokens of chunks: a chunk's text moves once, to the other rows of its id, and no token leaves its chunk's row."""
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).repartition("chunk_id")
+    texts = rows.groupBy("chunk_id").agg(F.collect_list("text").alias("texts"))
+    placed = F.flatten(F.transform("texts", lambda t: F.transform(tokens(t), lambda x, i: F.struct(x.alias("lexeme"), i.alias("pos")))))
+    pairs = texts.select("chunk_id", F.sort_array(placed).alias("pairs"))
+    n = F.size("pairs")
+
+    def opens(i: Column) -> Column:
+        return (i < n) & ((i == 0) | (F.get("pairs", i)["lexeme"] != F.get("pairs", i - 1)["lexeme"]))
+
+    runs = pairs.withColumn("starts", F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), opens))
+
+    def run(start: Column, k: Column) -> Column:
+        tf = F.coalesce(F.get("starts", k + 1), n) - start
+        return F.struct(F.get("pairs", start)["lexeme"].alias("lexeme"), tf.cast("bigint").alias("tf"), F.slice("pairs", start + 1, tf)["pos"].alias("positions"))
+
+    return runs.select("chunk_id", F.explode(F.transform("starts", run)).alias("p")).select("chunk_id", "p.*")
+
+
 def write_postings(positions: DataFrame, path: str, buckets: int = 256) -> None:
     """A stored index: files by lexeme bucket, sorted, so that a query reads a few row groups of a few buckets."""
     out = positions.groupBy("lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))

@@ -4,8 +4,10 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from evidspark.operators import context, pages
+from evidspark.functions.text import collapse, snippet
+from evidspark.operators import catalog, chunking, context, index, pages
 
 
 def test_many_pages_with_tables(spark):
@@ -43,3 +45,14 @@ def test_questions_share_batches(spark):
     rows = out.collect()
     assert {(r.question_id, r.document_id, r.chunk_index, r.role) for r in rows} == {(q, 4 * q + k, 5, "nalezeno") for q in range(1000) for k in range(3)} | {(q, 4 * q + k, 4, "kontext") for q in range(1000) for k in range(2)}
     assert len(rows) == 5000
+
+
+def test_postings_move_texts_alone(spark):
+    """Tokens stay in the row of their chunk; rows of one id still meet, each counted from 0."""
+    texts = [(1, "a b a c"), (1, "b Á"), (2, ""), (3, None), (4, "x"), (None, "a a"), (5, " ".join(f"w{i % 70}" for i in range(3000)))]
+    chunks = spark.createDataFrame(texts, "chunk_id bigint, chunk_raw string")
+    out, want = index.chunk_postings(chunks), index.postings(index.chunk_tokens(chunks))
+    assert out.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 5 + 70
+    plan = plan_of(out)
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Aggregate") == 1
