@@ -56,3 +56,10 @@ def test_postings_move_texts_alone(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 5 + 70
     plan = plan_of(out)
     assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Aggregate") == 1
+
+
+def test_kinds_are_made_once(spark):
+    rows = spark.createDataFrame([("d", i, t) for i, t in enumerate(["x", "", "se si " * 20, "y", "se si " * 20, "z", "q"])], "document_id string, page_no int, text string")
+    out = pages.classify(rows)
+    assert "Join" not in plan_of(out) and plan_of(out).count("regexp_extract_all") == 1
+    assert {r.page_no: r.kind for r in out.collect()} == {0: "prose", 1: "empty"} | dict.fromkeys(range(2, 7), "form")
