@@ -63,3 +63,16 @@ def test_kinds_are_made_once(spark):
     out = pages.classify(rows)
     assert "Join" not in plan_of(out) and plan_of(out).count("regexp_extract_all") == 1
     assert {r.page_no: r.kind for r in out.collect()} == {0: "prose", 1: "empty"} | dict.fromkeys(range(2, 7), "form")
+
+
+def test_snippets_and_headlines_of_long_texts(spark):
+    """Snippets equal the start of the whole text without runs of white space; a headline is found in a long text without going over it many times."""
+    texts = ["", " ", "  a  b ", "a\u00a0\n b" * 90, "x" * 299 + "  y", "x" * 299 + "  ", "\t" + "ab \n" * 120, "😀 " * 310, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select(snippet(F.col("t")).alias("got"), F.substring(collapse(F.col("t")), 1, 300).alias("want")).collect():
+        assert r.got == r.want
+    long = spark.createDataFrame([("abcdefghij" * 5 + " ") * 10_000 + "the Estion (b) here"], "string").toDF("t")
+    began = time.perf_counter()
+    [(found,)] = long.select(catalog.headline(F.col("t"), ["estion"])).collect()
+    assert found.split(" ", 16)[-1].endswith("the <mark>Estion</mark> (b) here") and len(found.split()) == 20
+    assert time.perf_counter() - began < 20
