@@ -76,3 +76,14 @@ def test_snippets_and_headlines_of_long_texts(spark):
     [(found,)] = long.select(catalog.headline(F.col("t"), ["estion"])).collect()
     assert found.split(" ", 16)[-1].endswith("the <mark>Estion</mark> (b) here") and len(found.split()) == 20
     assert time.perf_counter() - began < 20
+
+
+def test_chunks_leave_in_small_batches():
+    """Many documents of one batch don't wait for each other."""
+    markdown = "\n\n".join(["## part", *["some words of a line " * 30] * 20])
+    batch = pa.RecordBatch.from_pydict({"document_id": list(range(1000)), "markdown": [markdown] * 1000})
+    fields = pa.schema([("document_id", pa.int64()), ("chunk_index", pa.int32()), ("section", pa.string()), ("chunk_raw", pa.string()), ("body", pa.string()), ("token_count", pa.int32())])
+    chunker = chunking.Chunker()
+    n = len(chunker.chunks(markdown))
+    sizes = [b.nbytes for b in chunking.chunk_batches(iter([batch]), chunker, fields)]
+    assert max(sizes) < 3_000_000 and sum(sizes) > 20_000_000 and n > 1
