@@ -2,12 +2,13 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidspark.functions.text import collapse, snippet
-from evidspark.operators import catalog, chunking, context, index, pages
+from evidspark.operators import catalog, chunking, context, index, pages, structure
 
 
 def test_many_pages_with_tables(spark):
@@ -87,3 +88,16 @@ def test_chunks_leave_in_small_batches():
     n = len(chunker.chunks(markdown))
     sizes = [b.nbytes for b in chunking.chunk_batches(iter([batch]), chunker, fields)]
     assert max(sizes) < 3_000_000 and sum(sizes) > 20_000_000 and n > 1
+
+
+def test_a_report_is_not_joined_in_memory():
+    """One wide character made joined texts four times as large; lines keep their own width."""
+    pages_ = ["\n".join(f"{p} {k} " + "some words of a line " * 15 for k in range(20)) for p in range(400)] + ["\U0001f600 end"]
+    size = sum(map(len, pages_))
+    tracemalloc.start()
+    lines, _ = structure.normalized(pages_)
+    out = structure.encoded(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * size
+    assert out[0].as_py() == "\n".join(lines) == structure.normalize(pages_)[0] == "\n".join(x.rstrip() if i == 8000 else x for i, x in enumerate("\n".join(pages_).splitlines())) + "\n"
